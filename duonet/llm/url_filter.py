@@ -132,8 +132,8 @@ def index_rules(pages: DataFrame, rules: Sequence[UrlRule], subject: Column) ->
     tokens = {r: literal_tokens(r.pattern) for r in rules}
     wanted = sorted({t for found in tokens.values() for t in found})
     known = pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
-    held = pages.select(F.explode(url_tokens(subject)).alias("token")).join(known, "token", "left_semi")
-    counts = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()} if wanted else {}
+    counted = pages.select(F.explode(url_tokens(subject)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = {r["token"]: r["n"] for r in counted.join(known, "token", "left_semi").collect()} if wanted else {}
     index: dict[str, list[UrlRule]] = {}
     for rule, found in tokens.items():
         if found:
