@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from duonet.llm import chat_format, quality_classifier, quality_rules, url_filter
+from duonet.llm import chat_format, packing, quality_classifier, quality_rules, substring_dedup, url_filter
 
-_MODULES = (url_filter, quality_classifier, quality_rules, chat_format)
+_MODULES = (url_filter, quality_classifier, quality_rules, substring_dedup, chat_format, packing)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
