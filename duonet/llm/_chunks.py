@@ -58,15 +58,16 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
-def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_buckets: int, flag: Callable | None = None) -> DataFrame:
+def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_buckets: int, flag: Callable | None = None, label: Callable | None = None) -> DataFrame:
     """docs: id and text. One row per chunk: __chunk, ids, counts of tokens, numbered tokens, and for each bucket its tokens.
 
-    tokenize: bytes or str (as_bytes) to a list of tokens. flag: marks documents by id, for what is learned from a part.
+    tokenize: bytes or str (as_bytes) to a list of tokens. flag: marks documents by id; tokens then carry how often they
+    occur in marked documents (used). label: a number for each of a list of tokens, kept by token number (labels).
     """
     from xxhash import xxh3_64_intdigest
 
     id_type = docs.schema[0].dataType.simpleString()
-    schema = f"__chunk long, ids array<{id_type}>, counts array<int>, n long, numbers binary, place binary, n_distinct long, freq binary, flags array<boolean>, tokens array<struct<bucket:int,n:long,lengths:binary,data:binary,size:long>>"
+    schema = f"__chunk long, ids array<{id_type}>, counts array<int>, n long, numbers binary, place binary, n_distinct long, labels binary, flags array<boolean>, tokens array<struct<bucket:int,n:long,lengths:binary,data:binary,size:long,used:binary>>"
 
     def close(chunk: int, ids: list, rows: list[np.ndarray], known: dict, flags: list) -> pa.RecordBatch:
         counts = [len(r) for r in rows]
@@ -82,14 +83,13 @@ def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_
         bucket = (np.fromiter(map(xxh3_64_intdigest, ranked), np.uint64, len(ranked)) >> np.uint64(1)).astype(np.int64) % n_buckets
         place = np.argsort(bucket, kind="stable")  # tokens in bucket order, as ranks
         bounds = np.searchsorted(bucket[place], np.arange(n_buckets + 1))
+        used = np.bincount(rank[every[np.repeat(np.array(flags, bool), counts)]], minlength=len(ranked)) if flags else np.zeros(len(ranked))
         tokens = []
         for b in np.flatnonzero(np.diff(bounds)).tolist():
-            part = [ranked[k] for k in place[bounds[b] : bounds[b + 1]]]
-            lengths, data, size = pack_tokens(part)
-            tokens.append({"bucket": b, "n": len(part), "lengths": lengths, "data": data, "size": size})
-        trained = np.repeat(np.array(flags, bool), counts) if flags else np.zeros(len(every), bool)
-        used = np.bincount(rank[every[trained]], minlength=len(ranked)) if flags else np.zeros(0)
-        row = {"__chunk": chunk, "ids": ids, "counts": counts, "n": len(every), "numbers": pack_numbers(rank[every]), "place": pack_numbers(place), "n_distinct": len(ranked), "freq": pack_numbers(used), "flags": flags, "tokens": tokens}
+            own = place[bounds[b] : bounds[b + 1]]
+            lengths, data, size = pack_tokens([ranked[k] for k in own])
+            tokens.append({"bucket": b, "n": len(own), "lengths": lengths, "data": data, "size": size, "used": pack_numbers(used[own]) if flags else b""})
+        row = {"__chunk": chunk, "ids": ids, "counts": counts, "n": len(every), "numbers": pack_numbers(rank[every]), "place": pack_numbers(place), "n_distinct": len(ranked), "labels": pack_numbers(label(ranked)) if label else b"", "flags": flags, "tokens": tokens}
         return pa.RecordBatch.from_arrays([pa.array([v], type=arrow[k]) for k, v in row.items()], names=list(row))
 
     arrow: dict[str, pa.DataType] = {}
@@ -104,8 +104,8 @@ def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_
         for batch in batches:
             if id_arrow[0] is None:
                 id_arrow[0] = batch.column(0).type
-                numbers = pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("lengths", pa.binary()), ("data", pa.binary()), ("size", pa.int64())])
-                arrow.update({"__chunk": pa.int64(), "ids": pa.list_(id_arrow[0]), "counts": pa.list_(pa.int32()), "n": pa.int64(), "numbers": pa.binary(), "place": pa.binary(), "n_distinct": pa.int64(), "freq": pa.binary(), "flags": pa.list_(pa.bool_()), "tokens": pa.list_(numbers)})
+                numbers = pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("lengths", pa.binary()), ("data", pa.binary()), ("size", pa.int64()), ("used", pa.binary())])
+                arrow.update({"__chunk": pa.int64(), "ids": pa.list_(id_arrow[0]), "counts": pa.list_(pa.int32()), "n": pa.int64(), "numbers": pa.binary(), "place": pa.binary(), "n_distinct": pa.int64(), "labels": pa.binary(), "flags": pa.list_(pa.bool_()), "tokens": pa.list_(numbers)})
             texts = batch.column(1).cast(pa.binary()) if as_bytes else batch.column(1)
             marks = flag(batch.column(0)) if flag else None
             for k, (i, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
