@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _mark(edges: DataFrame) -> tuple:

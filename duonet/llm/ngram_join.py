@@ -14,10 +14,13 @@ or hold only boilerplate shingles, which would pair everything, cost nothing and
 counted in Spark, pre-aggregated by bounded chunks and packed by buckets of the hash space; only blocks that at least two
 distinct sets hold go on.
 
-Candidates and verification: identical sets are one node. In a round, every block that still holds nodes of different
-components picks one of them, and pairs of it with the others (of other components) are verified exactly on whole shingle
-sets; links update the components. Copies of one another thus fall together without all pairs of a group. After STAR_ROUNDS
-rounds the pairs that are left between components are all verified, so that no link is missed.
+Candidates and verification: identical sets are one node, and of blocks with the same nodes one is enough. In a round, every
+block that still holds nodes of different components picks one of them, and pairs of it with the others (of other
+components) are verified exactly on whole shingle sets; links update the components. Copies of one another thus fall
+together without all pairs of a group. After STAR_ROUNDS rounds the pairs that are left between components are all compared
+inside tasks by a second sketch, one bit for each shingle's place, flipped by each shingle there: its Hamming distance is at
+most the symmetric difference, so pairs beyond D go without being written; the others are verified exactly. Blocks of more
+than BLOCK nodes are compared in runs of at most about BLOCK, each pair of runs by itself.
 
 Defined results: A-Z is lower-cased; a text with fewer words than n is one shingle of them all; a null, empty or blank text
 has no shingles and links with nothing. Rows with an equal id are texts of their own and take the least id of their
@@ -37,7 +40,7 @@ from duonet.llm._common import GOLDEN, buckets_for, cut, map_rows, mix64, table,
 from duonet.llm._components import components
 from duonet.llm.substring_dedup import _pack, _unpack
 
-STAR_ROUNDS = 3
+STAR_ROUNDS, BLOCK = 2, 512
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
@@ -180,8 +183,31 @@ def shared_blocks(sketched: DataFrame, percent: int) -> DataFrame:
     return cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(keep, "key long, sig binary, size long"))
 
 
-def whole_sets(docs: DataFrame, sketched: DataFrame, shared: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(sig, hashes) of the sets that share a block with another."""
+def most_apart(a: int | np.ndarray, b: int | np.ndarray, percent: int):
+    """The largest symmetric difference of linked sets of these sizes."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def bit_sketch(hashes: np.ndarray, percent: int) -> bytes:
+    """Parities of a power of two of bits, at least eight for each difference allowed."""
+    bits = 256
+    while bits < 8 * most_apart(len(hashes), len(hashes), percent):
+        bits *= 2
+    place = (mix64(hashes + GOLDEN) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(blobs: list[bytes]) -> np.ndarray:
+    """The sketches as rows of 64-bit words, all folded to the shortest one's length."""
+    least = min(map(len, blobs)) // 8
+    out = np.empty((len(blobs), least), np.uint64)
+    for k, b in enumerate(blobs):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(b, "<u8").reshape(-1, least), axis=0)
+    return out
+
+
+def whole_sets(docs: DataFrame, sketched: DataFrame, shared: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(sig, hashes, bits) of the sets that share a block with another."""
     from xxhash import xxh3_128_digest
 
     wanted = sketched.where("keys is not null").join(shared.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct()
@@ -189,10 +215,10 @@ def whole_sets(docs: DataFrame, sketched: DataFrame, shared: DataFrame, id_col:
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, n) for t in texts_of(batch.column(0))]
         blobs = [s.tobytes() for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(b) for b in blobs], pa.binary()), pa.array(blobs, pa.binary())], names=["sig", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(b) for b in blobs], pa.binary()), pa.array(blobs, pa.binary()), pa.array([bit_sketch(s, percent) for s in sets], pa.binary())], names=["sig", "hashes", "bits"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi")
-    found = map_rows(texts.select("text"), compute, "sig binary, hashes binary")
+    found = map_rows(texts.select("text"), compute, "sig binary, hashes binary, bits binary")
     return cut(found.join(shared.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]))
 
 
@@ -213,30 +239,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a binary, b binary")
 
 
+def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: key, sig, size, root, bits. Pairs (a, b) of a key's nodes of different roots that their bit sketches let through."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("runs"))
+    own = rows.join(sizes, "key").withColumn("run", F.pmod(F.xxhash64("sig", "key"), F.col("runs")))
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1), lambda r: F.struct(F.least(r, F.col("run")).alias("i"), F.greatest(r, F.col("run")).alias("j")))
+    tasks = own.select("key", "run", "sig", "size", "root", "bits", F.explode(runs).alias("p")).select("key", "p.i", "p.j", "run", "sig", "size", "root", "bits")
+    cells = max(64, int(sizes.count()) // 200)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("run", "ascending")])
+        key, i, j, run, size = (rows.column(c).to_numpy() for c in ("key", "i", "j", "run", "size"))
+        sig, bits = rows.column("sig").to_pylist(), rows.column("bits").to_pylist()
+        root = np.unique(np.array([r.hex() for r in rows.column("root").to_pylist()]), return_inverse=True)[1]
+        change = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        found: set[tuple[bytes, bytes]] = set()
+        for lo, hi in zip(change[:-1].tolist(), change[1:].tolist(), strict=True):
+            left = np.arange(lo, hi) if i[lo] == j[lo] else lo + np.flatnonzero(run[lo:hi] == i[lo])
+            right = left if i[lo] == j[lo] else lo + np.flatnonzero(run[lo:hi] == j[lo])
+            if not len(left) or not len(right):
+                continue
+            words = _folded(bits[lo:hi])
+            apart = np.zeros((len(left), len(right)), np.int32)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(words[left - lo, w][:, None] ^ words[right - lo, w][None, :])
+            x, y = size[left][:, None], size[right][None, :]
+            ok = (apart <= most_apart(x, y, percent)) & (100 * x >= percent * y) & (100 * y >= percent * x) & (root[left][:, None] != root[right][None, :])
+            for a, b in zip(*np.nonzero(ok), strict=True):
+                s, t = sig[left[a]], sig[right[b]]
+                found.add((s, t) if s < t else (t, s))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return tasks.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells))).groupBy("cell").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(node, root) over all links between different sets."""
-    near = F.col("size") * 100 >= F.col("other.size") * percent
-    near = near & (F.col("other.size") * 100 >= F.col("size") * percent)
-    edges = roots = None
+    near = (F.col("size") * 100 >= F.col("other.size") * percent) & (F.col("other.size") * 100 >= F.col("size") * percent)
+    held = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
+    shared = cut(shared.join(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+    own, edges, roots = shared.withColumn("root", F.col("sig")), None, None
     for r in range(star_rounds + 1):
-        if roots is None:
-            own = shared.withColumn("root", F.col("sig"))
-        else:
+        if roots is not None:
             own = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("sig", F.lit(r)).alias("h"), "sig", "root", "size")).alias("other")).where("lo <> hi")
         if r < star_rounds:
             pairs = own.join(mixed.select("key", "other"), "key").where((F.col("root") != F.col("other.root")) & near)
+            pairs = pairs.select(F.least("sig", "other.sig").alias("a"), F.greatest("sig", "other.sig").alias("b")).distinct()
         else:
-            left = own.join(mixed.select("key"), "key", "left_semi")
-            pairs = left.join(left.select("key", F.struct("sig", "root", "size").alias("other")), "key").where((F.col("root") < F.col("other.root")) & near)
-        pairs = pairs.select(F.least("sig", "other.sig").alias("a"), F.greatest("sig", "other.sig").alias("b")).distinct()
+            left = own.join(mixed.select("key"), "key", "left_semi").join(sets.select("sig", "bits"), "sig")
+            pairs = close_pairs(cut(left), percent)
         found = cut(verified(pairs, sets, percent))
         if edges is not None and found.isEmpty():
-            if r < star_rounds:
-                continue
-            break
+            continue
         edges = found if edges is None else edges.unionByName(found)
-        roots = cut(components(edges))
+        roots = components(edges)
     return roots
 
 
@@ -244,7 +301,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: id, n_shingles, component_id (least id of its component)."""
     sketched = cut(sketch(docs, id_col, text_col, n, percent))
     shared = shared_blocks(sketched, percent)
-    sets = whole_sets(docs, sketched, shared, id_col, text_col, n)
+    sets = whole_sets(docs, sketched, shared, id_col, text_col, n, percent)
     roots = link_components(shared, sets, percent, star_rounds)
     least = sketched.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"))
     rooted = least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
