@@ -4,8 +4,11 @@ A chunk is a bounded run of documents of one task. Its tokens are numbered by fa
 document's tokens in order as those numbers (the exploded tokens with their positions, packed), and its distinct tokens go,
 packed, to the buckets of a token hash. A bucket sees each distinct token of the corpus once, whatever its frequency, and
 answers every chunk with one value for each of its tokens; the chunk joins the answers back and puts its documents together
-by position. A token is one entry for each chunk at most, so a hot token is no hot key. The chunk table is cut at a
-checkpoint, so that tokens and positions always belong to the same chunk, also when tasks run again.
+by position. A token is one entry for each chunk at most, so a hot token is no hot key.
+
+Tokens and positions must belong to the same chunk, also when tasks run again. Either the chunk table is cut at a checkpoint,
+or it is made twice from an input whose rows have a fixed order (files, or a checkpoint): steady() sees to that, and a digest
+of the chunk's tokens travels with both halves.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from duonet.llm._common import buckets_for, cut
 
-CHUNK_BYTES, BUCKET_TEXT_BYTES, LEAST_BUCKETS = 8 << 20, 64 << 20, 16
+CHUNK_BYTES, BUCKET_TEXT_BYTES, LEAST_BUCKETS = 8 << 20, 16 << 20, 16
 
 
 def squeeze(data: bytes) -> bytes:
@@ -58,16 +61,22 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
-def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_buckets: int, flag: Callable | None = None, label: Callable | None = None) -> DataFrame:
+def steady(docs: DataFrame) -> DataFrame:
+    """The rows in an order that running again does not change: rows that come out of a shuffle are cut at a checkpoint."""
+    return cut(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
+def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_buckets: int, flag: Callable | None = None, label: Callable | None = None, only: str = "") -> DataFrame:
     """docs: id and text. One row per chunk: __chunk, ids, counts of tokens, numbered tokens, and for each bucket its tokens.
 
     tokenize: bytes or str (as_bytes) to a list of tokens. flag: marks documents by id; tokens then carry how often they
     occur in marked documents (used). label: a number for each of a list of tokens, kept by token number (labels).
+    only: "tokens" or "places" leaves the other half out; the table is then not cut, and docs must be steady().
     """
     from xxhash import xxh3_64_intdigest
 
     id_type = docs.schema[0].dataType.simpleString()
-    schema = f"__chunk long, ids array<{id_type}>, counts array<int>, n long, numbers binary, place binary, n_distinct long, labels binary, flags array<boolean>, tokens array<struct<bucket:int,n:long,lengths:binary,data:binary,size:long,used:binary>>"
+    schema = f"__chunk long, digest long, ids array<{id_type}>, counts array<int>, n long, numbers binary, place binary, n_distinct long, labels binary, flags array<boolean>, tokens array<struct<bucket:int,n:long,lengths:binary,data:binary,size:long,used:binary>>"
 
     def close(chunk: int, ids: list, rows: list[np.ndarray], known: dict, flags: list) -> pa.RecordBatch:
         counts = [len(r) for r in rows]
@@ -84,12 +93,15 @@ def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_
         place = np.argsort(bucket, kind="stable")  # tokens in bucket order, as ranks
         bounds = np.searchsorted(bucket[place], np.arange(n_buckets + 1))
         used = np.bincount(rank[every[np.repeat(np.array(flags, bool), counts)]], minlength=len(ranked)) if flags else np.zeros(len(ranked))
+        digest = xxh3_64_intdigest(b"".join(ranked)) >> 1
         tokens = []
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
+        for b in np.flatnonzero(np.diff(bounds)).tolist() if only != "places" else ():
             own = place[bounds[b] : bounds[b + 1]]
             lengths, data, size = pack_tokens([ranked[k] for k in own])
             tokens.append({"bucket": b, "n": len(own), "lengths": lengths, "data": data, "size": size, "used": pack_numbers(used[own]) if flags else b""})
-        row = {"__chunk": chunk, "ids": ids, "counts": counts, "n": len(every), "numbers": pack_numbers(rank[every]), "place": pack_numbers(place), "n_distinct": len(ranked), "labels": pack_numbers(label(ranked)) if label else b"", "flags": flags, "tokens": tokens}
+        if only == "tokens":
+            ids, counts, every, place = [], [], every[:0], place[:0]
+        row = {"__chunk": chunk, "digest": digest, "ids": ids, "counts": counts, "n": len(every), "numbers": pack_numbers(rank[every]), "place": pack_numbers(place), "n_distinct": len(ranked), "labels": pack_numbers(label(ranked)) if label else b"", "flags": flags, "tokens": tokens}
         return pa.RecordBatch.from_arrays([pa.array([v], type=arrow[k]) for k, v in row.items()], names=list(row))
 
     arrow: dict[str, pa.DataType] = {}
@@ -105,7 +117,7 @@ def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_
             if id_arrow[0] is None:
                 id_arrow[0] = batch.column(0).type
                 numbers = pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("lengths", pa.binary()), ("data", pa.binary()), ("size", pa.int64()), ("used", pa.binary())])
-                arrow.update({"__chunk": pa.int64(), "ids": pa.list_(id_arrow[0]), "counts": pa.list_(pa.int32()), "n": pa.int64(), "numbers": pa.binary(), "place": pa.binary(), "n_distinct": pa.int64(), "labels": pa.binary(), "flags": pa.list_(pa.bool_()), "tokens": pa.list_(numbers)})
+                arrow.update({"__chunk": pa.int64(), "digest": pa.int64(), "ids": pa.list_(id_arrow[0]), "counts": pa.list_(pa.int32()), "n": pa.int64(), "numbers": pa.binary(), "place": pa.binary(), "n_distinct": pa.int64(), "labels": pa.binary(), "flags": pa.list_(pa.bool_()), "tokens": pa.list_(numbers)})
             texts = batch.column(1).cast(pa.binary()) if as_bytes else batch.column(1)
             marks = flag(batch.column(0)) if flag else None
             for k, (i, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
@@ -122,7 +134,8 @@ def chunked(docs: DataFrame, tokenize: Callable[[str], list], as_bytes: bool, n_
         if ids:
             yield close(part + next(serial), ids, rows, known, flags)
 
-    return cut(docs.mapInArrow(run, schema))
+    made = docs.mapInArrow(run, schema)
+    return made if only else cut(made)
 
 
 def n_buckets_for(total_bytes: int) -> int:
@@ -131,4 +144,4 @@ def n_buckets_for(total_bytes: int) -> int:
 
 def bucket_rows(chunks: DataFrame) -> DataFrame:
     """The distinct tokens of every chunk, a packed row for each bucket."""
-    return chunks.select("__chunk", F.explode("tokens").alias("t")).select("__chunk", "t.*")
+    return chunks.select("__chunk", "digest", F.explode("tokens").alias("t")).select("__chunk", "digest", "t.*")

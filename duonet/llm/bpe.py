@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duonet.llm._chunks import bucket_rows, chunked, n_buckets_for, pack_numbers, text_bytes, unpack_numbers, unpack_tokens
+from duonet.llm._chunks import bucket_rows, chunked, n_buckets_for, pack_numbers, steady, text_bytes, unpack_numbers, unpack_tokens
 from duonet.llm._common import map_rows, table
 
 _loaded: dict[int, object] = {}
@@ -65,10 +65,10 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, ids."""
+def bpe_encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens, ids; with decode also decoded, read back from the ids in the same task."""
     spark = docs.sparkSession
-    docs = docs.select(id_col, text_col)
+    docs = steady(docs.select(id_col, text_col))
     vocab = spark.sparkContext.broadcast(vocabulary)  # a vocabulary file, of fixed size
     id_type = docs.schema[id_col].dataType.simpleString()
     compiled: list = []
@@ -80,12 +80,12 @@ def bpe_encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "
             compiled.append(regex.compile(pattern))
         return compiled[0].findall(text)
 
-    chunks = chunked(docs, tokenize, False, n_buckets_for(text_bytes(docs, text_col)))
+    n_buckets = n_buckets_for(text_bytes(docs, text_col))
 
     def encode_bucket(rows: pa.Table) -> pa.Table:
         piece = _encoder(vocab.value, pattern)._encode_single_piece
         done: dict[bytes, list[int]] = {}
-        out = {"__chunk": [], "bucket": [], "n": [], "counts": [], "n_ids": [], "ids": []}
+        out = {"__chunk": [], "digest": [], "bucket": [], "n": [], "counts": [], "n_ids": [], "ids": []}
         for r in rows.to_pylist():
             tokens = unpack_tokens(r["lengths"], r["data"], r["n"], r["size"])
             found = []
@@ -95,14 +95,16 @@ def bpe_encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "
                     ids = done[t] = piece(t)
                 found.append(ids)
             flat = np.fromiter((i for ids in found for i in ids), np.uint32)
-            for k, v in (("__chunk", r["__chunk"]), ("bucket", r["bucket"]), ("n", r["n"]), ("counts", pack_numbers(np.fromiter(map(len, found), np.uint32, len(found)))), ("n_ids", len(flat)), ("ids", pack_numbers(flat))):
+            for k, v in (("__chunk", r["__chunk"]), ("digest", r["digest"]), ("bucket", r["bucket"]), ("n", r["n"]), ("counts", pack_numbers(np.fromiter(map(len, found), np.uint32, len(found)))), ("n_ids", len(flat)), ("ids", pack_numbers(flat))):
                 out[k].append(v)
-        return pa.table(out, schema=pa.schema([("__chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("n_ids", pa.int64()), ("ids", pa.binary())]))
+        return pa.table(out, schema=pa.schema([("__chunk", pa.int64()), ("digest", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("n_ids", pa.int64()), ("ids", pa.binary())]))
 
     def assemble(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         outs = []
         rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
         for r in chunk.to_pylist():  # one row
+            if any(a["digest"] != r["digest"] for a in rows):
+                raise RuntimeError("the input gave other rows on a second reading; checkpoint it first")
             counts = np.concatenate([unpack_numbers(a["counts"], a["n"]) for a in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
             flat = np.concatenate([unpack_numbers(a["ids"], a["n_ids"]) for a in rows]) if rows else np.zeros(0, np.uint32)
             place = unpack_numbers(r["place"], r["n_distinct"])
@@ -118,12 +120,22 @@ def bpe_encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "
                 got = flat[_spread(starts[own], lengths[own])] if c else flat[:0]
                 n_tokens.append(len(got))
                 ids.append(got.astype("<u4").tobytes())
-            outs.append(pa.table([chunk.column("ids").combine_chunks().flatten() if chunk.num_rows == 1 else pa.array(r["ids"]), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"]))
+            made = [pa.array(r["ids"], chunk.schema.field("ids").type.value_type), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())]
+            made += [pa.array([_bytes_of(blob, vocab.value) for blob in ids], pa.binary())] if decode else []
+            outs.append(pa.table(made, names=[id_col, "n_tokens", "ids", "decoded"][: len(made)]))
         return pa.concat_tables(outs)
 
-    answers = bucket_rows(chunks).groupBy("bucket").applyInArrow(encode_bucket, "__chunk long, bucket int, n long, counts binary, n_ids long, ids binary")
-    whole = chunks.select("__chunk", "ids", "counts", "n", "numbers", "place", "n_distinct")
-    return whole.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(assemble, f"`{id_col}` {id_type}, n_tokens long, ids binary")
+    tokens = bucket_rows(chunked(docs, tokenize, False, n_buckets, only="tokens"))
+    places = chunked(docs, tokenize, False, n_buckets, only="places").select("__chunk", "digest", "ids", "counts", "n", "numbers", "place", "n_distinct")
+    answers = tokens.groupBy("bucket").applyInArrow(encode_bucket, "__chunk long, digest long, bucket int, n long, counts binary, n_ids long, ids binary")
+    schema = f"`{id_col}` {id_type}, n_tokens long, ids binary" + ", decoded binary" * decode
+    return places.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(assemble, schema)
+
+
+def _bytes_of(ids: bytes, vocabulary: bytes) -> bytes:
+    starts, lengths, data = _token_bytes(vocabulary)
+    numbers = np.frombuffer(ids, "<u4")
+    return data[_spread(starts[numbers], lengths[numbers])].tobytes() if len(numbers) else b""
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> DataFrame:
@@ -132,11 +144,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> D
     at = encoded.columns.index(ids_col)
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        starts, lengths, data = _token_bytes(vocab.value)
-        out = []
-        for blob in batch.column(at).to_pylist():
-            ids = np.frombuffer(blob or b"", "<u4")
-            out.append(data[_spread(starts[ids], lengths[ids])].tobytes() if len(ids) else b"")
+        out = [_bytes_of(blob or b"", vocab.value) for blob in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
@@ -147,8 +155,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None =
     import public_tokenizers
 
     vocabulary = read_vocabulary(vocabulary_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = bpe_encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return bpe_decode(encoded, vocabulary).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, decode=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op7_byte_bpe": op7_byte_bpe}
