@@ -41,6 +41,8 @@ from duonet.llm._components import components
 from duonet.llm.substring_dedup import _pack, _unpack
 
 STAR_ROUNDS, BLOCK = 2, 512
+#: So many ids (a few MB) are broadcast at most.
+MOST_BROADCAST = 200_000
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
@@ -312,6 +314,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the least id of each component, all their columns unchanged.
+
+    Rows that repeat an id stay or go together, and of equal texts under one id one row stays. Rows without shingles and rows
+    with a null id stay. The ids that go are broadcast only while they are at most MOST_BROADCAST.
+    """
+    found = cut(ngram_components(docs, id_col, text_col, n, percent)).select(F.col(id_col).alias("__id"), "component_id")
+    gone = cut(found.where("__id <> component_id").select("__id").distinct())
+    again = found.where("__id is not null").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    small = F.broadcast if gone.count() <= MOST_BROADCAST else (lambda x: x)
+    kept = docs.join(small(gone), docs[id_col] == gone["__id"], "left_anti")
+    if again.isEmpty():
+        return kept
+    again = cut(again)
+    once = kept.join(again, kept[id_col] == again["__id"], "left_anti")
+    return once.unionByName(kept.join(again, kept[id_col] == again["__id"], "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
