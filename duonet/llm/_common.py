@@ -84,6 +84,15 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.T
     return df.mapInArrow(run, schema)
 
 
+#: So many ids or signatures (a few MB) are broadcast at most.
+MOST_BROADCAST = 200_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """Marks a table of single keys for broadcast if it has at most MOST_BROADCAST rows; else Spark shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+
 def buckets_for(total: float, each: float, least: int = 1) -> int:
     """A power of two so that each of so many buckets holds about `each` of `total`."""
     n = max(least, 1)

@@ -36,13 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duonet.llm._chunks import pack_numbers, unpack_numbers
-from duonet.llm._common import GOLDEN, buckets_for, cut, map_rows, mix64, table, texts_of, word_hashes
+from duonet.llm._common import GOLDEN, buckets_for, cut, map_rows, mix64, small, table, texts_of, word_hashes
 from duonet.llm._components import components
 from duonet.llm.substring_dedup import _pack, _unpack
 
 STAR_ROUNDS, BLOCK = 2, 512
-#: So many ids (a few MB) are broadcast at most.
-MOST_BROADCAST = 200_000
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
@@ -94,40 +92,49 @@ def block_keys(hashes: np.ndarray, band: int, blocks: int) -> np.ndarray:
     return mix64(parity + mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(band << 32)))
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id, size, sig (of the whole set; null if empty), keys (only where a task first sees the set)."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """id, size and sig (of the whole set; null if empty) of every row."""
     from xxhash import xxh3_128_digest
 
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, n) for t in texts_of(batch.column(1))]
+        sigs = [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=["id", "size", "sig"])
+
+    return map_rows(docs.select(id_col, text_col), run, f"id {id_type}, size long, sig binary")
+
+
+def sketch(docs: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
+    """sig, size and block keys of the sets; a task gives each of its sets once, so a hot set is a row for each task."""
+    from xxhash import xxh3_128_digest
+
     def run(batches):
         seen: set[bytes] = set()
         cache: dict[int, list] = {}
         for batch in batches:
             sizes, sigs, keys = [], [], []
-            for text in texts_of(batch.column(1)):
+            for text in texts_of(batch.column(0)):
                 hashes = shingles(text, n)
                 size = len(hashes)
-                sig = xxh3_128_digest(hashes.tobytes()) if size else None
-                sizes.append(size)
-                sigs.append(sig)
-                if size and sig not in seen:
+                sig = xxh3_128_digest(hashes.tobytes())
+                if size not in cache:
+                    cache[size] = [x for x in instances(size, percent) if x[1]] if size else []
+                if cache[size] and sig not in seen:
                     seen.add(sig)
-                    if size not in cache:
-                        cache[size] = instances(size, percent)
-                    keys.append(b"".join(block_keys(hashes, band, blocks).tobytes() for band, blocks, _ in cache[size] if blocks))
-                else:
-                    keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())], names=["id", "size", "sig", "keys"])
+                    sizes.append(size)
+                    sigs.append(sig)
+                    keys.append(b"".join(block_keys(hashes, band, blocks).tobytes() for band, blocks, _ in cache[size]))
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["sig", "size", "keys"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, size long, sig binary, keys binary")
+    return docs.select(text_col).mapInArrow(run, "sig binary, size long, keys binary")
 
 
-def shared_blocks(sketched: DataFrame, percent: int) -> DataFrame:
-    """(key, sig, size): the blocks that a set keeps and at least one other set has."""
-    keyed = sketched.where(F.octet_length("keys") > 0).select("sig", "size", "keys")
-    total = keyed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    n_chunks, n_buckets = max(1, -(-int(total) // CHUNK_BYTES)), buckets_for(total, BUCKET_BYTES, 256)
+def shared_blocks(keyed: DataFrame, shingle_count: int, percent: int) -> DataFrame:
+    """(key, sig, size): the blocks that a set keeps and at least one other set has. shingle_count: of all rows together."""
+    total = shingle_count * 8 * 5 * (100 - percent) / (100 + percent)  # about the bytes of all keys
+    n_chunks, n_buckets = 1 + int(total) // CHUNK_BYTES, buckets_for(total, BUCKET_BYTES, 256)
     shift = 64 - (n_buckets.bit_length() - 1)
     dealt = keyed.select(F.pmod(F.xxhash64("sig"), F.lit(n_chunks)).cast("long").alias("chunk"), "sig", "size", "keys")
 
@@ -208,24 +215,47 @@ def _folded(blobs: list[bytes]) -> np.ndarray:
     return out
 
 
-def whole_sets(docs: DataFrame, sketched: DataFrame, shared: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def whole_sets(docs: DataFrame, signed: DataFrame, shared: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """(sig, hashes, bits) of the sets that share a block with another."""
     from xxhash import xxh3_128_digest
 
-    wanted = sketched.where("keys is not null").join(shared.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct()
+    sigs = cut(shared.select("sig").distinct())
+    wanted = cut(signed.join(small(sigs), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct())
+
+    def compute(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            out = []
+            for text in texts_of(batch.column(0)):
+                hashes = shingles(text, n)
+                blob = hashes.tobytes()
+                if len(hashes) and (sig := xxh3_128_digest(blob)) not in seen:
+                    seen.add(sig)
+                    out.append((sig, blob, bit_sketch(hashes, percent)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(3)], names=["sig", "hashes", "bits"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("d").join(small(wanted).alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi")
+    found = texts.select("text").mapInArrow(compute, "sig binary, hashes binary, bits binary")
+    return cut(found.join(small(sigs), "sig", "left_semi"))
+
 
-    def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, n) for t in texts_of(batch.column(0))]
-        blobs = [s.tobytes() for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(b) for b in blobs], pa.binary()), pa.array(blobs, pa.binary()), pa.array([bit_sketch(s, percent) for s in sets], pa.binary())], names=["sig", "hashes", "bits"])
+def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, size_a, size_b) those that the bit sketches let through."""
+
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = []
+        for m, k, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+            words = _folded([x, y])
+            ok.append(int(np.bitwise_count(words[0] ^ words[1]).sum()) <= most_apart(m, k, percent))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi")
-    found = map_rows(texts.select("text"), compute, "sig binary, hashes binary, bits binary")
-    return cut(found.join(shared.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]))
+    bits = sets.select("sig", "bits").groupBy("sig").agg(F.min("bits").alias("bits"))
+    left, right = bits.select(F.col("sig").alias("a"), F.col("bits").alias("x")), bits.select(F.col("sig").alias("b"), F.col("bits").alias("y"))
+    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "x", "y"), check, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b) that link, by their whole sets; only the sets of these pairs move."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
@@ -236,9 +266,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok.append(100 * common >= percent * (len(a) + len(b) - common))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
-    return map_rows(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a binary, b binary")
+    pairs = cut(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    own = sets.select("sig", "hashes").join(small(cut(ends)), "sig", "left_semi")
+    left, right = own.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), own.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
+    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a binary, b binary").distinct()
 
 
 def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -287,7 +319,10 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
         mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("sig", F.lit(r)).alias("h"), "sig", "root", "size")).alias("other")).where("lo <> hi")
         if r < star_rounds:
             pairs = own.join(mixed.select("key", "other"), "key").where((F.col("root") != F.col("other.root")) & near)
-            pairs = pairs.select(F.least("sig", "other.sig").alias("a"), F.greatest("sig", "other.sig").alias("b")).distinct()
+            low = F.col("sig") < F.col("other.sig")
+            ends = [F.when(low, F.struct("sig", "size")).otherwise(F.struct("other.sig", "other.size")).alias("l"), F.when(low, F.struct("other.sig", "other.size")).otherwise(F.struct("sig", "size")).alias("r")]
+            pairs = pairs.select(*ends).select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b"), F.col("l.size").alias("size_a"), F.col("r.size").alias("size_b")).distinct()
+            pairs = near_enough(pairs, sets, percent)
         else:
             left = own.join(mixed.select("key"), "key", "left_semi").join(sets.select("sig", "bits"), "sig")
             pairs = close_pairs(cut(left), percent)
@@ -301,14 +336,15 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id of its component)."""
-    sketched = cut(sketch(docs, id_col, text_col, n, percent))
-    shared = shared_blocks(sketched, percent)
-    sets = whole_sets(docs, sketched, shared, id_col, text_col, n, percent)
+    signed = cut(signatures(docs, id_col, text_col, n))
+    count = signed.agg(F.sum("size")).first()[0] or 0
+    shared = shared_blocks(sketch(docs, text_col, n, percent), count, percent)
+    sets = whole_sets(docs, signed, shared, id_col, text_col, n, percent)
     roots = link_components(shared, sets, percent, star_rounds)
-    least = sketched.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"))
+    least = signed.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"))
     rooted = least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
-    rows = sketched.select("id", "size", "sig")
+    rows = signed
     linked = rows.where("sig is not null").join(named, "sig").select("id", "size", "component_id")
     alone = rows.where("sig is null").select("id", "size", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
@@ -318,12 +354,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of the least id of each component, all their columns unchanged.
 
     Rows that repeat an id stay or go together, and of equal texts under one id one row stays. Rows without shingles and rows
-    with a null id stay. The ids that go are broadcast only while they are at most MOST_BROADCAST.
+    with a null id stay. The ids that go are broadcast only while they are few.
     """
     found = cut(ngram_components(docs, id_col, text_col, n, percent)).select(F.col(id_col).alias("__id"), "component_id")
     gone = cut(found.where("__id <> component_id").select("__id").distinct())
     again = found.where("__id is not null").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id")
-    small = F.broadcast if gone.count() <= MOST_BROADCAST else (lambda x: x)
     kept = docs.join(small(gone), docs[id_col] == gone["__id"], "left_anti")
     if again.isEmpty():
         return kept

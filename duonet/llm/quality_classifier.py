@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duonet.llm._common import cut, map_rows, table, texts_of
+from duonet.llm._common import cut, map_rows, small, table, texts_of
 from duonet.llm.quality_rules import Document, UPPER
 
 #: The statistics, in order.
@@ -182,7 +182,7 @@ def keep_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Only the labelled documents' statistics are gathered for the fit; the filter computes each text's own in the same pass.
     """
     known = labels.select(F.col(id_col).alias("__id")).where(~held_out(F.col("__id"))).distinct()
-    trained = with_statistics(docs.select(id_col, text_col).join(known, F.col(id_col) == F.col("__id"), "left_semi"), text_col).select(id_col, "__stats")
+    trained = with_statistics(docs.select(id_col, text_col).join(small(known), F.col(id_col) == F.col("__id"), "left_semi"), text_col).select(id_col, "__stats")
     model = learn(cut(trained), labels, id_col, label_col)
     at = docs.columns.index(text_col)
 
