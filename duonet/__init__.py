@@ -1,0 +1 @@
+"""Differential network analytics of two sample groups, on Spark."""

@@ -1,0 +1 @@
+"""Dense numeric kernels in numpy; none of them imports Spark."""

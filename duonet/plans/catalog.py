@@ -1,6 +1,429 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries of the relational operators, each with its SQL equivalent; and of the kernels, which SQL can't express.
+
+All run over whole tables. Computed doubles are rounded to six places on both sides, counts are BIGINT.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from duonet.functions.stat import benjamini_hochberg, clean_names, student_p
+from duonet.operators import aggregate, edges, prep, stats, transform
+from duonet.plans import fixtures as fx
+from duonet.plans import kernel_queries
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c.name, 6).alias(c.name) if isinstance(c.dataType, DoubleType) else F.col(f"`{c.name}`") for c in df.schema.fields))
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def logged_m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform.log_transform(fx.matrix_m(spark, sf_dir))
+
+
+#: SQL pieces. P: two-sided Student p-value of columns t and dof; W: Welch statistics of lm.
+P_SQL = """least(1.0, list_sum([(CASE WHEN k = 0 OR k = 400 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(greatest(cos(lo + (hi - lo) * k / 400.0), 0.0), dof - 1.0) FOR k IN range(0, 401)]) * (hi - lo)
+ / (list_sum([(CASE WHEN k = 0 OR k = 400 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(greatest(cos(top * k / 400.0), 0.0), dof - 1.0) FOR k IN range(0, 401)]) * top))"""
+
+
+def welch_sql(source: str, one: str, two: str) -> str:
+    return f"""w AS (SELECT feature_id, m1, m2, (m2 - m1) / sqrt(a + b) AS t, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS dof FROM (
+ SELECT feature_id, avg(value) FILTER ("group" = '{one}') AS m1, avg(value) FILTER ("group" = '{two}') AS m2, count(*) FILTER ("group" = '{one}') AS n1, count(*) FILTER ("group" = '{two}') AS n2,
+ var_samp(value) FILTER ("group" = '{one}') / n1 AS a, var_samp(value) FILTER ("group" = '{two}') / n2 AS b FROM {source} GROUP BY feature_id)),
+p AS (SELECT *, {P_SQL} AS pv FROM (SELECT *, atan(abs(t) / sqrt(dof)) AS lo, least(3.141592653589793 / 2, lo + 12.0 / sqrt(dof)) AS hi, least(3.141592653589793 / 2, 12.0 / sqrt(dof)) AS top FROM w)),
+r AS (SELECT *, row_number() OVER (ORDER BY pv, feature_id) AS rk, count(*) OVER () AS n FROM p),
+q AS (SELECT *, least(1.0, min(pv * n / rk) OVER (ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS qv FROM r)"""
+
+
+NODES_SQL = f"""WITH {fx.LM_SQL}, {welch_sql('lm', 'F', 'O')},
+nodes AS (SELECT feature_id, 'O / F' AS comparison, m2 - m1 AS foldchange, CASE WHEN m2 > m1 THEN 'Up' ELSE 'Down' END AS fcdirection, t AS t_statistic, CASE WHEN t > 0 THEN 'Up' ELSE 'Down' END AS t_statistic_direction, pv AS pvalue, qv AS qvalue, qv < 0.05 AS de_status FROM q)"""
+
+
+@query(NODES_SQL + " SELECT feature_id, comparison, round(foldchange, 6) AS foldchange, fcdirection, round(t_statistic, 6) AS t_statistic, t_statistic_direction, round(pvalue, 6) AS pvalue, round(qvalue, 6) AS qvalue, de_status FROM nodes")
+def de_node_list(spark, sf_dir):
+    return stats.node_list(logged_m(spark, sf_dir), "F", "O")
+
+
+@query(f"WITH {fx.E_SQL}, {welch_sql('e', 'a', 'b')} SELECT feature_id, 'b / a' AS comparison, round(m2 - m1, 6) AS foldchange, CASE WHEN m2 > m1 THEN 'Up' ELSE 'Down' END AS fcdirection, round(t, 6) AS t_statistic, CASE WHEN t > 0 THEN 'Up' ELSE 'Down' END AS t_statistic_direction, round(pv, 6) AS pvalue, round(qv, 6) AS qvalue, qv < 0.05 AS de_status FROM q")
+def de_node_list_scaled(spark, sf_dir):
+    return stats.node_list(fx.matrix_e(spark, sf_dir), "a", "b")
+
+
+@query(f"WITH {fx.E_SQL}, {welch_sql('e', 'a', 'b')} SELECT feature_id, round(pv, 6) AS pvalue, round(qv, 6) AS qvalue FROM q")
+def bh_adjust(spark, sf_dir):
+    w = stats.welch(fx.matrix_e(spark, sf_dir), "a", "b").withColumn("pvalue", student_p(F.col("t_statistic"), F.col("dof")))
+    return benjamini_hochberg(w).select("feature_id", "pvalue", "qvalue")
+
+
+@query(f'WITH {fx.LM_SQL} SELECT "group", sample_id, feature_id, round(value, 6) AS value FROM lm')
+def log_transform(spark, sf_dir):
+    return logged_m(spark, sf_dir)
+
+
+@query(f'WITH {fx.M_SQL} SELECT "group", sample_id, feature_id, round(ln(floor(value) + 1), 6) AS value FROM m')
+def count_pseudo_log(spark, sf_dir):
+    return transform.count_log(fx.matrix_m(spark, sf_dir).withColumn("value", F.floor("value").cast("double")))
+
+
+@query(f'WITH {fx.LM_SQL} SELECT "group", sample_id, feature_id, round((value - avg(value) OVER g) / nullif(stddev_samp(value) OVER g, 0), 6) AS value FROM lm WINDOW g AS (PARTITION BY "group", feature_id)')
+def autoscale_by_group(spark, sf_dir):
+    return transform.autoscale(logged_m(spark, sf_dir)).select("group", "sample_id", "feature_id", "value")
+
+
+@query(f'WITH {fx.LM_SQL}, s AS (SELECT "group", feature_id, median(value) AS mid, min(value) AS a, max(value) AS b FROM lm GROUP BY ALL) SELECT "group", sample_id, feature_id, round((value - mid) / nullif(greatest(abs(b - mid), abs(a - mid)), 0), 6) AS value FROM lm JOIN s USING ("group", feature_id)')
+def median_range_scale(spark, sf_dir):
+    return transform.median_range_scale(logged_m(spark, sf_dir)).select("group", "sample_id", "feature_id", "value")
+
+
+@query(f'WITH {fx.M_SQL} SELECT "group", count(DISTINCT sample_id) AS n_samples, count(DISTINCT feature_id) AS n_features, count(*) AS n_values FROM m GROUP BY ALL')
+def split_by_condition_counts(spark, sf_dir):
+    return transform.split_counts(fx.matrix_m(spark, sf_dir))
+
+
+@query("SELECT s_suppkey, feature_id, round(value, 6) AS value FROM (SELECT s_suppkey, s_acctbal, CAST(s_nationkey AS DOUBLE) AS s_nationkey FROM supplier) UNPIVOT (value FOR feature_id IN (s_acctbal, s_nationkey))")
+def wide_to_long(spark, sf_dir):
+    wide = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("s_nationkey"))
+    return transform.lengthen(wide, ["s_suppkey"])
+
+
+@query("SELECT l_suppkey AS sample_id, " + ", ".join(f"round(sum(l_extendedprice) FILTER (l_linestatus = '{g}' AND l_returnflag = '{r}'), 6) AS {g}_{r}" for g in "FO" for r in "ANR") + " FROM lineitem GROUP BY ALL")
+def long_to_wide(spark, sf_dir):
+    lines = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.concat_ws("_", "l_linestatus", "l_returnflag").alias("feature_id")).agg(F.sum("l_extendedprice").alias("value"))
+    return transform.widen(lines, [f"{g}_{r}" for g in "FO" for r in "ANR"], ["sample_id"])
+
+
+TOP_PARTS = "SELECT p_brand FROM part GROUP BY p_brand HAVING avg(p_retailprice) >= (SELECT avg(p_retailprice) FROM part)"
+
+
+def _top_brands(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part")
+    mean = part.agg(F.avg("p_retailprice").alias("mean"))
+    by = part.groupBy("p_brand").agg(F.avg("p_retailprice").alias("price"))
+    return by.join(F.broadcast(mean), by["price"] >= mean["mean"]).select(F.col("p_brand").alias("feature_id"))  # one row is broadcast
+
+
+@query(f'WITH {fx.M_SQL} SELECT "group", sample_id, feature_id, round(value, 6) AS value FROM m WHERE feature_id IN ({TOP_PARTS})')
+def feature_subset_semi(spark, sf_dir):
+    return transform.subset_features(fx.matrix_m(spark, sf_dir), _top_brands(spark, sf_dir)).select("group", "sample_id", "feature_id", "value")
+
+
+@query(f'WITH {fx.M_SQL} SELECT "group", sample_id, feature_id, round(value, 6) AS value FROM m WHERE feature_id NOT IN ({TOP_PARTS})')
+def feature_subset_anti(spark, sf_dir):
+    return transform.subset_features(fx.matrix_m(spark, sf_dir), _top_brands(spark, sf_dir), keep=False).select("group", "sample_id", "feature_id", "value")
+
+
+@query(f"WITH {fx.M_SQL} SELECT \"group\", sample_id, feature_id, round(value, 6) AS value FROM m WHERE NOT regexp_matches(feature_id, '[05]$')")
+def feature_drop_regex(spark, sf_dir):
+    return fx.matrix_m(spark, sf_dir).where(~F.col("feature_id").rlike("[05]$"))
+
+
+def _pairs_sql(source: str, scope: str, expr: str, same: str = "<", by: str = '"group"') -> str:
+    on = f"x.{by} = y.{by} AND " if by else ""
+    extra = "" if by else 'x."group" = y."group" AND '
+    cols = f"x.{by} AS {by}, " if by else ""
+    return f"SELECT {cols}x.feature_id AS feature_a, y.feature_id AS feature_b, {expr} FROM {source} x JOIN {source} y ON {on}{extra}x.sample_id = y.sample_id AND x.feature_id {same} y.feature_id GROUP BY ALL"
+
+
+@query(f"WITH {fx.LM_SQL} " + _pairs_sql("lm", "", "round(corr(x.value, y.value), 6) AS r, count(*) AS n"))
+def corr_pairs_by_group(spark, sf_dir):
+    return stats.correlations(logged_m(spark, sf_dir), ["group"])
+
+
+@query(f"WITH {fx.LM_SQL} " + _pairs_sql("lm", "", "round(corr(x.value, y.value), 6) AS r, count(*) AS n", by=""))
+def corr_pairs_pooled(spark, sf_dir):
+    pooled = logged_m(spark, sf_dir).withColumn("sample_id", F.concat_ws("|", "group", "sample_id"))
+    return stats.correlations(pooled, [])
+
+
+@query(f"WITH {fx.LM_SQL} " + _pairs_sql("lm", "", "round(corr(x.value, y.value), 6) AS r, count(*) AS n"))
+def corr_pairs_by_join(spark, sf_dir):
+    """The plan for more features than fit a matrix."""
+    return stats.correlations(logged_m(spark, sf_dir), ["group"], most_dense=0)
+
+
+@query(f"WITH {fx.LM_SQL} " + _pairs_sql("lm", "", "round(covar_samp(x.value, y.value), 6) AS cov", "<="))
+def cov_pairs(spark, sf_dir):
+    return stats.covariances(logged_m(spark, sf_dir), ["group"])
+
+
+@query(f"WITH {fx.LM_SQL} " + _pairs_sql("lm", "", "round(sum(x.value * y.value) / count(*), 6) AS moment", "<="))
+def second_moment_pairs(spark, sf_dir):
+    return stats.second_moments(logged_m(spark, sf_dir), ["group"])
+
+
+@query(f'WITH {fx.M_SQL}, k AS (SELECT DISTINCT p_brand AS feature_id, substr(p_brand, 1, 7) AS feature_group FROM part) SELECT "group", sample_id, feature_group, round(avg(value), 6) AS value FROM m JOIN k USING (feature_id) GROUP BY ALL')
+def knowledge_collapse(spark, sf_dir):
+    groups = fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("feature_id"), F.substring("p_brand", 1, 7).alias("feature_group")).distinct()
+    return aggregate.collapse_by_group(fx.matrix_m(spark, sf_dir), groups)
+
+
+#: Three clusterings of the brands, from the whole part table.
+PARTS_SQL = """b AS (SELECT p_brand AS node, count(*) AS n, sum(p_size) AS size, round(sum(p_retailprice), 2) AS price FROM part GROUP BY ALL),
+parts AS (SELECT 'price' AS algorithm, node, CAST((row_number() OVER (ORDER BY price, node) - 1) // 5 AS BIGINT) AS cluster FROM b UNION ALL
+ SELECT 'size', node, CAST((row_number() OVER (ORDER BY size, node) - 1) // 7 AS BIGINT) FROM b UNION ALL SELECT 'count', node, CAST(n % 4 AS BIGINT) FROM b)"""
+
+
+def brand_partitions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    b = fx.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("node")).agg(F.count("*").alias("n"), F.sum("p_size").alias("size"), F.round(F.sum("p_retailprice"), 2).alias("price"))
+    at = lambda c: F.row_number().over(Window.orderBy(c, "node")) - 1  # noqa: E731  one row a brand
+    one = b.select(F.lit("price").alias("algorithm"), "node", F.floor(at("price") / 5).alias("cluster"))
+    two = b.select(F.lit("size").alias("algorithm"), "node", F.floor(at("size") / 7).alias("cluster"))
+    return one.unionByName(two).unionByName(b.select(F.lit("count").alias("algorithm"), "node", (F.col("n") % 4).alias("cluster")))
+
+
+@query(f"WITH {PARTS_SQL}, c AS (SELECT node, string_agg(algorithm || '=' || cluster, '|' ORDER BY algorithm) AS clusters FROM parts WHERE algorithm <> 'count' GROUP BY node) SELECT node AS feature_id, count(*) OVER (PARTITION BY clusters) AS n, min(node) OVER (PARTITION BY clusters) AS first FROM c")
+def collapse_pairs_intersect(spark, sf_dir):
+    two = brand_partitions(spark, sf_dir).where("algorithm <> 'count'").select(F.lit("").alias("class"), F.col("algorithm").alias("group"), F.col("node").alias("feature_id"), "cluster")
+    return aggregate.co_clustered(two).select("feature_id", "n", "first")
+
+
+@query(f"WITH {PARTS_SQL} SELECT x.node AS node_a, y.node AS node_b, round(count(*) / 3.0::DOUBLE, 6) AS share FROM parts x JOIN parts y ON x.algorithm = y.algorithm AND x.cluster = y.cluster AND x.node < y.node GROUP BY ALL")
+def consensus_matrix(spark, sf_dir):
+    return edges.consensus(brand_partitions(spark, sf_dir))
+
+
+@query(f"WITH {PARTS_SQL}, s AS (SELECT x.node AS node_a, y.node AS node_b, count(*) / 3.0::DOUBLE AS share FROM parts x JOIN parts y ON x.algorithm = y.algorithm AND x.cluster = y.cluster AND x.node < y.node GROUP BY ALL) SELECT node_a, node_b, round(share, 6) AS share FROM s WHERE share > 0.5")
+def consensus_threshold(spark, sf_dir):
+    return edges.consensus(brand_partitions(spark, sf_dir)).where("share > 0.5")
+
+
+SAMPLES_SQL = 'sm AS (SELECT DISTINCT l_linestatus AS "group", l_suppkey AS sample_id FROM lineitem)'
+
+
+def samples(spark, sf_dir):
+    return fx.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("group"), F.col("l_suppkey").alias("sample_id")).distinct()
+
+
+@query("SELECT p_partkey, p_type FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || '~11'), p_partkey) AS rk, count(*) OVER (PARTITION BY p_type) AS n FROM part) WHERE rk <= ceil(0.25 * n)")
+def stratified_sample(spark, sf_dir):
+    return prep.stratified_sample(fx.table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", "p_partkey", 0.25, 11).select("p_partkey", "p_type")
+
+
+@query(f'WITH {SAMPLES_SQL}, g AS (SELECT *, unnest(range(0, 3)) AS rep FROM sm) SELECT rep, "group", sample_id, CAST(CASE WHEN row_number() OVER (PARTITION BY rep, "group" ORDER BY md5(rep || \'~\' || sample_id || \'~5\'), rep, sample_id) <= floor(count(*) OVER (PARTITION BY rep, "group") / 2) THEN 1 ELSE 2 END AS BIGINT) AS half FROM g')
+def half_split_plan(spark, sf_dir):
+    return prep.half_split_plan(samples(spark, sf_dir), 3, 5)
+
+
+SUB_SQL = """g AS (SELECT CASE WHEN label < 3 THEN 'small' ELSE 'large' END AS "group", vec_id AS sample_id, unnest(range(0, 3)) AS rep FROM embeddings),
+z AS (SELECT count(*) FILTER (label < 3) AS ns, count(*) FILTER (label >= 3) AS nl FROM embeddings),
+k AS (SELECT rep, "group", sample_id FROM (SELECT *, row_number() OVER (PARTITION BY rep, "group" ORDER BY md5(rep || '~' || sample_id || '~5'), rep, sample_id) AS rk FROM g) , z
+ WHERE rk <= CASE WHEN "group" = 'large' THEN floor(round(1.3 * ns, 9)) WHEN nl > 2 * ns THEN floor(round(0.9 * ns, 9)) ELSE ns END),
+t AS (SELECT rep, "group", sample_id FROM (SELECT *, row_number() OVER (PARTITION BY rep, "group" ORDER BY md5(rep || '~' || sample_id || '~6'), rep, sample_id) AS rk FROM k WHERE "group" = 'small'), z WHERE nl > 2 * ns AND rk <= floor(round(0.1 * ns, 9)))"""
+
+
+@query(f'WITH {SUB_SQL} SELECT rep, "group", sample_id, 1::BIGINT AS copy FROM k UNION ALL SELECT rep, "group", sample_id, 2::BIGINT FROM t')
+def subsample_plan(spark, sf_dir):
+    own = fx.table(spark, sf_dir, "embeddings").select(F.when(F.col("label") < 3, "small").otherwise("large").alias("group"), F.col("vec_id").alias("sample_id"))
+    return prep.subsample_plan(own, 3, 5)
+
+
+GRID_SQL = fx.V_SQL + """, s AS (SELECT subject, feature_id, sum(value) AS value FROM v WHERE value >= 1 GROUP BY ALL),
+grid AS (SELECT subject, feature_id, coalesce(value, 0.0) AS value FROM (SELECT * FROM (SELECT DISTINCT subject FROM s), (SELECT DISTINCT feature_id FROM s)) LEFT JOIN s USING (subject, feature_id))"""
+HALF_SQL = fx.V_SQL + """, grid AS (SELECT subject, feature_id, CASE WHEN value < 3 THEN 0.0 ELSE value END AS value FROM v)"""
+
+
+def _grid(spark, sf_dir):
+    v = fx.visits(spark, sf_dir).where("value >= 1").groupBy("subject", "feature_id").agg(F.sum("value").alias("value"))
+    return prep.densify(v, ["subject"])
+
+
+def _halved(spark, sf_dir):
+    return fx.visits(spark, sf_dir).select("subject", "feature_id", F.when(F.col("value") < 3, 0.0).otherwise(F.col("value")).alias("value"))
+
+
+@query(f"WITH {HALF_SQL} SELECT feature_id, count(*) AS n, count(*) FILTER (value = 0) AS n_zero FROM grid GROUP BY ALL HAVING n_zero <= ceil(0.3 * n)")
+def missingness_filter(spark, sf_dir):
+    return prep.missingness_filter(_halved(spark, sf_dir))
+
+
+@query(f"WITH {GRID_SQL} SELECT subject, feature_id, round(value, 6) AS value FROM grid")
+def densified_grid(spark, sf_dir):
+    return _grid(spark, sf_dir).select("subject", "feature_id", "value")
+
+
+@query("WITH " + fx.V_SQL + ", g AS (SELECT event_id, feature_id, CASE WHEN value < 3 THEN 0.0 ELSE value END AS value FROM v), md AS (SELECT feature_id, median(value) AS mid FROM g GROUP BY ALL) SELECT event_id, feature_id, round(CASE WHEN value = 0 THEN mid ELSE value END, 6) AS value FROM g JOIN md USING (feature_id)")
+def zero_median_impute(spark, sf_dir):
+    v = fx.visits(spark, sf_dir).select("event_id", "feature_id", F.when(F.col("value") < 3, 0.0).otherwise(F.col("value")).alias("value"))
+    return prep.zero_median_impute(v, ["feature_id"]).select("event_id", "feature_id", "value")
+
+
+@query("WITH " + fx.V_SQL + ", f AS (SELECT feature_id, regr_slope(value, age) AS b, regr_intercept(value, age) AS a FROM v GROUP BY ALL), r AS (SELECT event_id, feature_id, value - a - b * age AS res FROM v JOIN f USING (feature_id)) SELECT event_id, feature_id, round(res + abs(min(res) OVER (PARTITION BY feature_id)) + 1, 6) AS adjusted FROM r")
+def covariate_adjust_1(spark, sf_dir):
+    return prep.covariate_adjust(fx.visits(spark, sf_dir), "age").select("event_id", "feature_id", "adjusted")
+
+
+@query("SELECT user_id AS subject, CASE WHEN a AND b THEN 'BOTH' WHEN a THEN 'DM:case' WHEN b THEN 'DM:control' END AS \"group\" FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') > 13 AS a, count(*) FILTER (event_type = 'view') > 13 AS b FROM events GROUP BY ALL)")
+def recode_groups(spark, sf_dir):
+    n = lambda kind: F.sum(F.when(F.col("event_type") == kind, 1).otherwise(0)) > 13
+    s = fx.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("subject")).agg(n("purchase").alias("a"), n("view").alias("b"))
+    return s.select("subject", prep.recode(F.col("a"), F.col("b")).alias("group"))
+
+
+@query("WITH " + fx.V_SQL + ' SELECT subject, round(age, 6) AS age, event_id, feature_id, round(value, 6) AS value, "group" FROM v QUALIFY row_number() OVER (PARTITION BY subject ORDER BY age, event_id) = 1')
+def first_visit(spark, sf_dir):
+    return prep.first_visit(fx.visits(spark, sf_dir).drop("endpoint"), "subject", ["age", "event_id"])
+
+
+@query("WITH " + fx.V_SQL + """, s AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY age DESC, event_id DESC) AS rn, max(age) OVER g - min(age) OVER g AS span, min("group") OVER g = max("group") OVER g AS one FROM v WINDOW g AS (PARTITION BY subject))
+SELECT subject, round(age, 6) AS age, event_id, feature_id, round(value, 6) AS value, "group", round(endpoint, 6) AS endpoint FROM s WHERE rn = 1 AND one AND span >= 5 AND ("group" <> 'DM:case' OR age - endpoint >= -1)""")
+def last_visit(spark, sf_dir):
+    return prep.last_visit(fx.visits(spark, sf_dir), "subject", "age", "group", "endpoint", "DM:case", ["event_id"], 5.0, -1.0)
+
+
+SHAPE_SQL = fx.M_SQL + ', z AS (SELECT count(DISTINCT feature_id) AS p, (SELECT max(n) FROM (SELECT count(DISTINCT sample_id) AS n FROM m GROUP BY "group")) AS n FROM m), ls AS (SELECT sqrt(ln(p) / n) AS lam FROM z)'
+
+
+def _asymptotic(spark, sf_dir):
+    m = fx.matrix_m(spark, sf_dir)
+    by = m.groupBy("group").agg(F.countDistinct("sample_id").alias("n"))
+    return m.agg(F.countDistinct("feature_id").alias("p")).join(F.broadcast(by.agg(F.max("n").alias("n")))).select(F.sqrt(F.ln(F.col("p").cast("double")) / F.col("n")).alias("lam"))  # two single rows
+
+
+@query(f'WITH {fx.M_SQL} SELECT "group", round(sqrt(ln(p) / n), 6) AS lambda FROM (SELECT "group", count(DISTINCT sample_id) AS n FROM m GROUP BY ALL), (SELECT count(DISTINCT feature_id) AS p FROM m)')
+def asymptotic_lambda(spark, sf_dir):
+    m = fx.matrix_m(spark, sf_dir)
+    return m.groupBy("group").agg(F.countDistinct("sample_id").alias("n")).join(F.broadcast(m.agg(F.countDistinct("feature_id").alias("p")))).select("group", F.sqrt(F.ln(F.col("p").cast("double")) / F.col("n")).alias("lambda"))
+
+
+@query(f"WITH {SHAPE_SQL} SELECT round(k * 0.02::DOUBLE, 6) AS c, round(k * 0.02::DOUBLE * lam, 6) AS lambda FROM (SELECT lam, unnest(range(0, CAST(floor(1 / lam / 0.02 + 1e-9) AS BIGINT) + 1)) AS k FROM ls)")
+def lambda_grid_informed(spark, sf_dir):
+    s = _asymptotic(spark, sf_dir)
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.lit(1.0) / F.col("lam") / 0.02 + 1e-9)))
+    return s.select("lam", k.alias("k")).select((F.col("k") * F.lit(0.02)).alias("c"), (F.col("k") * F.lit(0.02) * F.col("lam")).alias("lambda"))
+
+
+@query("SELECT round(k * 0.05::DOUBLE, 6) AS lambda FROM (SELECT unnest(range(0, 21)) AS k)")
+def lambda_grid_uninformed(spark, sf_dir):
+    return spark.range(21).select((F.col("id") * F.lit(0.05)).alias("lambda"))
+
+
+ED_SQL = fx.LM_SQL + ", c AS (" + _pairs_sql("lm", "", "round(corr(x.value, y.value), 6) AS w") + "), ed AS (SELECT * FROM c WHERE abs(w) >= 0.1)"
+UNION_SQL = ED_SQL + """, u AS (SELECT feature_a, feature_b, coalesce(f.w, 0.0) AS pcor_0, coalesce(o.w, 0.0) AS pcor_1, CASE WHEN coalesce(f.w, 0) <> 0 AND coalesce(o.w, 0) <> 0 THEN 'Both' WHEN coalesce(f.w, 0) <> 0 THEN 'F' WHEN coalesce(o.w, 0) <> 0 THEN 'O' END AS edge
+ FROM (SELECT * FROM ed WHERE "group" = 'F') f FULL JOIN (SELECT * FROM ed WHERE "group" = 'O') o USING (feature_a, feature_b))"""
+
+
+def correlation_edges(spark, sf_dir):
+    r = stats.correlations(logged_m(spark, sf_dir), ["group"]).select("group", "feature_a", "feature_b", F.round("r", 6).alias("w"))
+    return edges.threshold(r, 0.1)
+
+
+def _union(spark, sf_dir):
+    return edges.union_classified(correlation_edges(spark, sf_dir), "F", "O")
+
+
+@query(f'WITH {ED_SQL} SELECT "group", feature_a, feature_b, w FROM ed')
+def edge_threshold(spark, sf_dir):
+    return correlation_edges(spark, sf_dir)
+
+
+@query(f'WITH {ED_SQL}, d AS (SELECT "group", abs(w) AS a FROM ed UNION ALL SELECT "group", abs(w) FROM ed), k AS (SELECT "group", quantile_cont(a, 0.6) AS cut FROM d GROUP BY ALL) SELECT "group", feature_a, feature_b, w FROM ed JOIN k USING ("group") WHERE abs(w) >= cut - 1e-12')
+def top_percent_edges(spark, sf_dir):
+    return edges.top_percent(correlation_edges(spark, sf_dir), 0.4).select("group", "feature_a", "feature_b", "w")
+
+
+@query(f"WITH {UNION_SQL} SELECT * FROM u")
+def edge_union_classified(spark, sf_dir):
+    return _union(spark, sf_dir)
+
+
+@query(f"WITH {UNION_SQL} SELECT edge, count(*) AS n_edges FROM u GROUP BY ALL")
+def edge_class_counts(spark, sf_dir):
+    return edges.class_counts(_union(spark, sf_dir))
+
+
+@query(f"WITH {UNION_SQL} SELECT *, CASE edge WHEN 'F' THEN 'green' WHEN 'O' THEN 'red' ELSE 'black' END AS color, CAST(CASE edge WHEN 'F' THEN 2 WHEN 'O' THEN 3 ELSE 1 END AS BIGINT) AS lty FROM u")
+def edge_styles(spark, sf_dir):
+    return edges.styles(_union(spark, sf_dir), "F", "O")
+
+
+@query(NODES_SQL + " SELECT feature_id, de_status, CASE WHEN de_status THEN 'purple' ELSE 'white' END AS color FROM nodes")
+def node_styles(spark, sf_dir):
+    return edges.node_styles(stats.node_list(logged_m(spark, sf_dir), "F", "O").select("feature_id", "de_status"))
+
+
+@query(f"WITH {UNION_SQL} SELECT DISTINCT unnest([feature_a, feature_b]) AS feature_id FROM u WHERE edge IN ('F', 'Both')")
+def subgraph_nodes(spark, sf_dir):
+    return edges.subgraph_nodes(_union(spark, sf_dir), "F")
+
+
+@query(f"WITH {UNION_SQL} SELECT * FROM u WHERE feature_a IN ({TOP_PARTS}) AND feature_b IN ({TOP_PARTS})")
+def induced_edges(spark, sf_dir):
+    return edges.induced(_union(spark, sf_dir), _top_brands(spark, sf_dir))
+
+
+def _members(spark, sf_dir):
+    return brand_partitions(spark, sf_dir).where("algorithm = 'price'").select(F.concat(F.lit("subnetwork"), F.col("cluster").cast("string")).alias("module"), F.col("node").alias("feature_id"))
+
+
+SUMMARY_SQL = NODES_SQL + UNION_SQL[len(fx.LM_SQL) :].replace(", c AS", ", c AS", 1) + ", " + PARTS_SQL + """, mem AS (SELECT 'subnetwork' || cluster AS module, node AS feature_id FROM parts WHERE algorithm = 'price'),
+ins AS (SELECT x.module AS module, count(*) AS e, count(*) FILTER (edge <> 'Both') AS d FROM u JOIN mem x ON feature_a = x.feature_id JOIN mem y ON feature_b = y.feature_id AND x.module = y.module GROUP BY ALL),
+summ AS (SELECT module AS subnetworks, count(*) AS number_of_nodes, coalesce(max(e), 0)::BIGINT AS number_of_edges, count(*) FILTER (de_status) AS number_of_de_nodes, coalesce(max(d), 0)::BIGINT AS number_of_de_edges FROM mem LEFT JOIN nodes USING (feature_id) LEFT JOIN ins USING (module) GROUP BY module)"""
+
+
+@query(SUMMARY_SQL + " SELECT * FROM summ")
+def module_summary(spark, sf_dir):
+    return edges.module_summary(_members(spark, sf_dir), stats.node_list(logged_m(spark, sf_dir), "F", "O"), _union(spark, sf_dir))
+
+
+@query(f"WITH {PARTS_SQL} SELECT 'subnetwork' || cluster AS module, count(*) AS n FROM parts WHERE algorithm = 'size' GROUP BY ALL HAVING count(*) >= 5")
+def module_filter_min_size(spark, sf_dir):
+    m = brand_partitions(spark, sf_dir).where("algorithm = 'size'").select(F.concat(F.lit("subnetwork"), F.col("cluster").cast("string")).alias("module"), F.col("node").alias("feature_id"))
+    return edges.large_modules(m, 5)
+
+
+@query(SUMMARY_SQL + " SELECT subnetworks, number_of_edges, row_number() OVER (ORDER BY number_of_edges, subnetworks) AS rank FROM summ")
+def module_rerank(spark, sf_dir):
+    s = edges.module_summary(_members(spark, sf_dir), stats.node_list(logged_m(spark, sf_dir), "F", "O"), _union(spark, sf_dir))
+    return edges.rerank(s.select("subnetworks", "number_of_edges"), "number_of_edges", "subnetworks")
+
+
+@query("SELECT s_suppkey AS sample_id, s_name AS original_name, n_name AS nation, r_name AS region, round(s_acctbal, 6) AS acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def sample_metadata_join(spark, sf_dir):
+    s, n, r = (fx.table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    j = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return j.select(F.col("s_suppkey").alias("sample_id"), F.col("s_name").alias("original_name"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.col("s_acctbal").alias("acctbal"))
+
+
+@query(f"WITH {fx.M_SQL}, f AS (SELECT p_brand AS feature_id, round(avg(p_retailprice), 6) AS price, count(*) AS n_parts FROM part GROUP BY ALL) SELECT feature_id, price, n_parts, round(avg(value), 6) AS mean_value FROM m JOIN f USING (feature_id) GROUP BY ALL")
+def feature_metadata_join(spark, sf_dir):
+    f = fx.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("feature_id")).agg(F.round(F.avg("p_retailprice"), 6).alias("price"), F.count("*").alias("n_parts"))
+    return fx.matrix_m(spark, sf_dir).groupBy("feature_id").agg(F.avg("value").alias("mean_value")).join(f, "feature_id").select("feature_id", "price", "n_parts", "mean_value")
+
+
+@query("WITH " + fx.M_SQL + " SELECT (SELECT count(*) FROM (SELECT DISTINCT \"group\", sample_id FROM m)) AS num_samples, (SELECT count(DISTINCT feature_id) FROM m) AS num_features, (SELECT count(DISTINCT \"group\") FROM m) AS num_groups")
+def summary_counts(spark, sf_dir):
+    m = fx.matrix_m(spark, sf_dir)
+    return m.agg(F.countDistinct("group", "sample_id").alias("num_samples"), F.countDistinct("feature_id").alias("num_features"), F.countDistinct("group").alias("num_groups"))
+
+
+@query("WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS a FROM n), d AS (SELECT p_name, CASE WHEN a = '' THEN 'x' WHEN regexp_matches(a, '^[0-9]') THEN 'x' || a ELSE a END AS a FROM c), e AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p_name) AS k FROM d) SELECT p_partkey, p_name, CASE WHEN k = 1 THEN a ELSE a || '_' || k END AS clean FROM part JOIN e USING (p_name)")
+def cleaned_names(spark, sf_dir):
+    return clean_names(fx.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "clean").select("p_partkey", "p_name", "clean")
+
+
+@query("SELECT CAST(p_size AS DOUBLE) AS lambda, round(s, 6) AS bic FROM (SELECT p_size, round(avg(p_retailprice), 6) AS s FROM part GROUP BY ALL) ORDER BY s, p_size LIMIT 1")
+def argmin_lambda(spark, sf_dir):
+    """The argmin of a score over a grid; here part sizes stand for lambdas."""
+    path = fx.table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("double").alias("lambda")).agg(F.round(F.avg("p_retailprice"), 6).alias("bic"))
+    return edges.argmin_lambda(path)
+
+
+for _name, _fn in kernel_queries.QUERIES.items():
+    QUERIES[_name] = _fn
