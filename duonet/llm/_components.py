@@ -12,30 +12,30 @@ from pyspark.sql import functions as F
 from duonet.llm._common import cut
 
 MAX_ROUNDS = 60
+#: Edges in a partition: small edge tables stay in few partitions, large ones keep all of Spark's.
+EDGES_EACH = 100_000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, width: int) -> DataFrame:
     """edges: (a, b) with a > b. Large star: neighbours above a node hang on its least neighbour; small star: those below."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(width)
         out = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select("b", "m", "a")
-        out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+        least = edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(width)
+        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where(F.col("a") != F.col("b")).coalesce(width).distinct().coalesce(width)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node of the component; only nodes with an edge to another node appear."""
-    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = cut(edges)
+    edges = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
+    width = 1 + mark[0] // EDGES_EACH
     for _ in range(MAX_ROUNDS):
-        new = cut(_star(_star(edges, True), False))
-        now = _mark(new)
-        edges = new
+        edges = cut(_star(_star(edges.coalesce(width), True, width), False, width))
+        now = _mark(edges)
         if now == mark:
             break
         mark = now

@@ -40,7 +40,9 @@ from duonet.llm._common import GOLDEN, buckets_for, cut, map_rows, mix64, small,
 from duonet.llm._components import components
 from duonet.llm.substring_dedup import _pack, _unpack
 
-STAR_ROUNDS, BLOCK = 2, 512
+STAR_ROUNDS, BLOCK, BITS_EACH = 2, 512, 32
+#: Shared blocks for each partition of the tables that follow from them.
+ROWS_EACH = 20_000
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
@@ -198,9 +200,9 @@ def most_apart(a: int | np.ndarray, b: int | np.ndarray, percent: int):
 
 
 def bit_sketch(hashes: np.ndarray, percent: int) -> bytes:
-    """Parities of a power of two of bits, at least eight for each difference allowed."""
+    """Parities of a power of two of bits, at least BITS_EACH for each difference allowed."""
     bits = 256
-    while bits < 8 * most_apart(len(hashes), len(hashes), percent):
+    while bits < BITS_EACH * most_apart(len(hashes), len(hashes), percent):
         bits *= 2
     place = (mix64(hashes + GOLDEN) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -254,7 +256,7 @@ def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "x", "y"), check, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; only the sets of these pairs move."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -266,11 +268,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok.append(100 * common >= percent * (len(a) + len(b) - common))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = cut(pairs)
+    pairs = cut(pairs.coalesce(width))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    own = sets.select("sig", "hashes").join(small(cut(ends)), "sig", "left_semi")
+    own = sets.select("sig", "hashes").join(small(cut(ends.coalesce(width))), "sig", "left_semi")
     left, right = own.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), own.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
-    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a binary, b binary").distinct()
+    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a binary, b binary").coalesce(width).distinct()
 
 
 def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -311,7 +313,8 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
     """(node, root) over all links between different sets."""
     near = (F.col("size") * 100 >= F.col("other.size") * percent) & (F.col("other.size") * 100 >= F.col("size") * percent)
     held = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
-    shared = cut(shared.join(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+    width = 8 + shared.count() // ROWS_EACH
+    shared = cut(shared.join(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").coalesce(width))
     own, edges, roots = shared.withColumn("root", F.col("sig")), None, None
     for r in range(star_rounds + 1):
         if roots is not None:
@@ -325,8 +328,8 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
             pairs = near_enough(pairs, sets, percent)
         else:
             left = own.join(mixed.select("key"), "key", "left_semi").join(sets.select("sig", "bits"), "sig")
-            pairs = close_pairs(cut(left), percent)
-        found = cut(verified(pairs, sets, percent))
+            pairs = close_pairs(cut(left.coalesce(width)), percent)
+        found = cut(verified(pairs, sets, percent, width).coalesce(width))
         if edges is not None and found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)
