@@ -22,9 +22,10 @@ def count_log(df: DataFrame, pseudo: float = 1.0) -> DataFrame:
 
 
 def autoscale(df: DataFrame) -> DataFrame:
-    """z-score per feature within each group (sample standard deviation); null for constant features."""
+    """z-score per feature within each group (sample standard deviation); null for features constant up to rounding."""
     stats = df.groupBy(KEYS).agg(F.avg("value").alias("__mean"), F.stddev_samp("value").alias("__sd"))
-    return df.join(stats, KEYS).withColumn("value", ratio(F.col("value") - F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")
+    sd = F.when(F.col("__sd") > F.lit(1e-13) * F.abs("__mean"), F.col("__sd"))
+    return df.join(stats, KEYS).withColumn("value", ratio(F.col("value") - F.col("__mean"), sd)).drop("__mean", "__sd")
 
 
 def median_range_scale(df: DataFrame) -> DataFrame:
