@@ -244,6 +244,32 @@ class Experiment:
         new = df.select(F.lit(assay_name).alias("assay"), "group", F.col("sample_id").cast("string").alias("sample_id"), "feature_id", F.col("value").cast("double").alias("value"))
         return dataclasses.replace(self, assays_table=self.assays_table.where(F.col("assay") != assay_name).unionByName(new))
 
+    def with_(self, **changes) -> Experiment:
+        """A validated copy with other fields (the setters of every accessor)."""
+        known = {f.name for f in dataclasses.fields(self)}
+        _check(set(changes) <= known, f"unknown fields: {sorted(set(changes) - known)}")
+        made = dataclasses.replace(self, **changes)
+        made.validate()
+        return made
+
+    def validate(self) -> None:
+        """Checks what every step relies on; raises where something is off."""
+        _check(isinstance(self.project_name, str), "project_name must be a string")
+        _check(len(self.groups) == 2 and self.groups[0] != self.groups[1], "two different groups are needed")
+        _check({"assay", "group", "sample_id", "feature_id", "value"} <= set(self.assays_table.columns), "the assay table lacks columns")
+        found = {r[0] for r in self.assays_table.select("group").distinct().limit(3).collect()}
+        _check(found == set(self.groups), f"the assays' groups are {found}")
+        repeated = self.assays_table.groupBy("assay", "sample_id", "feature_id", "group").count().where("count > 1")
+        _check(repeated.isEmpty(), "a value is there twice")
+        for table, key in ((self.samples, "sample_id"), (self.features, "feature_id")):
+            _check(not _differ(self.assays_table.select(key).distinct(), table, key), f"{key} of the metadata and of the assays differ")
+        if self.nodes is not None:
+            _check(not _differ(self.features.select("feature_id").distinct(), self.nodes, "feature_id"), "the node list's features differ")
+        if self.weighted is not None:
+            ends = edges.endpoints(self.weighted)
+            _check(ends.join(self.features, "feature_id", "left_anti").isEmpty(), "an edge ends at an unknown feature")
+        _check(self.optimized is None or 0 <= self.optimized <= 1, "lambda must lie in [0, 1]")
+
     # selection and export
 
     def plot_selection(self, type: str = "group_networks", subtype: str = "All") -> tuple[DataFrame, DataFrame]:
@@ -281,6 +307,15 @@ class Experiment:
             xy = xy + move / size[:, None] * np.minimum(size, 0.1 * (1 - step / iterations))[:, None]
         return [(f, float(x), float(y)) for f, (x, y) in zip(names, xy, strict=True)]
 
+    def to_dot(self, type: str = "group_networks", subtype: str = "All") -> str:
+        """A (small) drawing in the DOT language."""
+        nodes, drawn = self.plot_selection(type, subtype)
+        style = {1: "solid", 2: "dashed", 3: "dotted"}
+        quote = lambda x: '"' + str(x).replace('"', '\\"') + '"'
+        lines = [f"  {quote(r['feature_id'])} [style=filled, fillcolor={r['color']}];" for r in nodes.orderBy("feature_id").limit(nw.MOST_FEATURES).collect()]
+        lines += [f"  {quote(r['feature_a'])} -- {quote(r['feature_b'])} [color={r['color']}, style={style[r['lty']]}];" for r in drawn.orderBy("feature_a", "feature_b").collect()]
+        return "graph {\n" + "\n".join(lines) + "\n}\n"
+
     def write_network_files(self, path: str) -> Experiment:
         """<path>/<project>_nodelist and _edgelist as CSV with a header; fields are quoted where they need it."""
         _check(self.joint_edges is not None, "estimate the networks first")

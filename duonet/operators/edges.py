@@ -94,6 +94,17 @@ def rerank(scored: DataFrame, score: str, module: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(score, module)).cast("long"))
 
 
+def order_by_membership(members: DataFrame) -> DataFrame:
+    """members: (node, cluster). Each node's place in the order of clusters; one row a node, at most as many as a kernel takes."""
+    return members.withColumn("place", F.row_number().over(Window.orderBy("cluster", "node")).cast("long"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """Per group and node: number of edges and sum of |w|."""
+    ends = edges.select("group", "w", F.explode(F.array("feature_a", "feature_b")).alias("feature_id"))
+    return ends.groupBy("group", "feature_id").agg(F.count("*").alias("degree"), F.sum(F.abs("w")).alias("strength"))
+
+
 def argmin_lambda(path: DataFrame) -> DataFrame:
     """The first lambda of least finite BIC."""
     finite = F.col("bic").isNotNull() & ~F.isnan("bic") & (F.abs("bic") < float("inf"))

@@ -51,3 +51,8 @@ def lengthen(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def subset_features(df: DataFrame, wanted: DataFrame, keep: bool = True) -> DataFrame:
     return df.join(wanted.select("feature_id").distinct(), "feature_id", "left_semi" if keep else "left_anti")
+
+
+def transpose(df: DataFrame) -> DataFrame:
+    """Samples become features and features samples."""
+    return df.select(F.col("feature_id").alias("sample_id"), F.col("sample_id").alias("feature_id"), *(c for c in df.columns if c not in ("sample_id", "feature_id")))

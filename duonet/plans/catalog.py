@@ -425,5 +425,62 @@ def argmin_lambda(spark, sf_dir):
     return edges.argmin_lambda(path)
 
 
+@query(f'WITH {fx.M_SQL} SELECT feature_id AS sample_id, sample_id AS feature_id, "group", round(value, 6) AS value FROM m')
+def transpose(spark, sf_dir):
+    return transform.transpose(fx.matrix_m(spark, sf_dir))
+
+
+@query(f"WITH {PARTS_SQL}, g AS (SELECT node AS feature_id, 'group' || cluster AS feature_group FROM parts WHERE algorithm = 'price' AND cluster < 2) SELECT DISTINCT p_brand AS feature_id, coalesce(feature_group, p_brand) AS feature_group FROM g RIGHT JOIN part ON feature_id = p_brand")
+def membership_right_join(spark, sf_dir):
+    """Every feature with its group; those without one keep their own name."""
+    groups = brand_partitions(spark, sf_dir).where("algorithm = 'price' AND cluster < 2").select(F.col("node").alias("feature_id"), F.concat(F.lit("group"), F.col("cluster").cast("string")).alias("feature_group"))
+    names = fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("feature_id")).distinct()
+    return groups.join(names, "feature_id", "right").select("feature_id", F.coalesce("feature_group", "feature_id").alias("feature_group"))
+
+
+@query("SELECT side, id FROM (SELECT 'only left' AS side, l_suppkey AS id FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) UNION SELECT 'only right', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem))")
+def alignment_check(spark, sf_dir):
+    """Ids that only one side has: empty when samples and metadata agree."""
+    a = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id")).distinct()
+    b = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).distinct()
+    return a.join(b, "id", "left_anti").select(F.lit("only left").alias("side"), "id").unionByName(b.join(a, "id", "left_anti").select(F.lit("only right").alias("side"), "id"))
+
+
+@query(f"WITH {PARTS_SQL} SELECT node, cluster, row_number() OVER (ORDER BY cluster, node) AS place FROM parts WHERE algorithm = 'count'")
+def nodes_by_membership(spark, sf_dir):
+    return edges.order_by_membership(brand_partitions(spark, sf_dir).where("algorithm = 'count'").select("node", "cluster"))
+
+
+@query(f"WITH {PARTS_SQL} SELECT node, min(node) OVER (PARTITION BY cluster) AS root FROM parts WHERE algorithm = 'price' QUALIFY count(*) OVER (PARTITION BY cluster) > 1")
+def connected_components(spark, sf_dir):
+    """Components of the graph that joins each brand with its neighbour in price order inside its cluster."""
+    from pyspark.sql import Window
+
+    from duonet.operators.components import components
+
+    one = brand_partitions(spark, sf_dir).where("algorithm = 'price'")
+    after = F.lead("node").over(Window.partitionBy("cluster").orderBy("node"))
+    return components(one.select(F.col("node").alias("a"), after.alias("b")).where("b is not null"))
+
+
+@query()
+def covariates_adjust_2(spark, sf_dir):
+    v = fx.visits(spark, sf_dir).withColumn("case", (F.col("group") == "DM:case").cast("double"))
+    return prep.covariates_adjust(v, ["age", "case"]).select("event_id", "feature_id", "adjusted")
+
+
+@query(f"WITH {ED_SQL}, u AS (SELECT feature_a, feature_b, max(w) FILTER (\"group\" = 'F') AS weight_1, max(w) FILTER (\"group\" = 'O') AS weight_2 FROM ed GROUP BY ALL) SELECT * FROM u")
+def joint_graph_weights(spark, sf_dir):
+    """The union of both graphs' edges with each one's weight, null where it has none."""
+    e = correlation_edges(spark, sf_dir)
+    side = lambda g, name: e.where(F.col("group") == g).select("feature_a", "feature_b", F.col("w").alias(name))
+    return side("F", "weight_1").join(side("O", "weight_2"), ["feature_a", "feature_b"], "full")
+
+
+@query(f"WITH {ED_SQL} SELECT \"group\", feature_id, count(*) AS degree, round(sum(abs(w)), 6) AS strength FROM (SELECT \"group\", w, unnest([feature_a, feature_b]) AS feature_id FROM ed) GROUP BY ALL")
+def node_degrees(spark, sf_dir):
+    return edges.degrees(correlation_edges(spark, sf_dir))
+
+
 for _name, _fn in kernel_queries.QUERIES.items():
     QUERIES[_name] = _fn

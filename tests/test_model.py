@@ -126,6 +126,13 @@ def test_clustering_enrichment_export(clustered, tmp_path, experiment):
     assert len(done.layout()) == 12
     with pytest.raises(ValueError):
         done.plot_selection("subnetworks", "99")
+    done.validate()
+    assert done.with_(project_name="other").project_name == "other"
+    with pytest.raises(ValueError):
+        done.with_(optimized=3.0)
+    with pytest.raises(ValueError):
+        done.with_(nothing=1)
+    assert done.to_dot().startswith("graph {") and "--" in done.to_dot()
     assert done.dataset_summary().count() == 3 and "enriched" in done.show()
 
 
@@ -236,3 +243,25 @@ def test_streaming_moments(spark, tmp_path):
         q.stop()
     r = moments_to_stats(spark.table("moments")).first()
     assert r["mean"] == pytest.approx(4.5) and r["var"] == pytest.approx(np.var(range(10), ddof=1))
+
+
+def test_connected_components(spark):
+    from duonet.operators.components import components
+
+    rng = np.random.default_rng(8)
+    chain = [(i, i + 1) for i in range(60)]
+    pairs = chain + [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 80, (50, 2))] + [(5, 5), (2, 1)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
