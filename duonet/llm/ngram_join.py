@@ -275,12 +275,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> Dat
     return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a binary, b binary").coalesce(width).distinct()
 
 
-def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: key, sig, size, root, bits. Pairs (a, b) of a key's nodes of different roots that their bit sketches let through."""
+def close_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows: key, sig, size, root. Pairs (a, b) of a key's nodes of different roots that their bit sketches let through.
+
+    The sketches join last, so that they move once.
+    """
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("runs"))
     own = rows.join(sizes, "key").withColumn("run", F.pmod(F.xxhash64("sig", "key"), F.col("runs")))
     runs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1), lambda r: F.struct(F.least(r, F.col("run")).alias("i"), F.greatest(r, F.col("run")).alias("j")))
-    tasks = own.select("key", "run", "sig", "size", "root", "bits", F.explode(runs).alias("p")).select("key", "p.i", "p.j", "run", "sig", "size", "root", "bits")
+    tasks = own.select("key", "run", "sig", "size", "root", F.explode(runs).alias("p")).select("key", "p.i", "p.j", "run", "sig", "size", "root")
+    tasks = tasks.join(sets.groupBy("sig").agg(F.min("bits").alias("bits")), "sig").select("key", "i", "j", "run", "sig", "size", "root", "bits")
     cells = max(64, int(sizes.count()) // 200)
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -327,8 +331,8 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
             pairs = pairs.select(*ends).select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b"), F.col("l.size").alias("size_a"), F.col("r.size").alias("size_b")).distinct()
             pairs = near_enough(pairs, sets, percent)
         else:
-            left = own.join(mixed.select("key"), "key", "left_semi").join(sets.select("sig", "bits"), "sig")
-            pairs = close_pairs(cut(left.coalesce(width)), percent)
+            left = own.join(mixed.select("key"), "key", "left_semi").select("key", "sig", "size", "root")
+            pairs = close_pairs(cut(left.coalesce(width)), sets, percent)
         found = cut(verified(pairs, sets, percent, width).coalesce(width))
         if edges is not None and found.isEmpty():
             continue
