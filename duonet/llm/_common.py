@@ -5,7 +5,6 @@ Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``, which is what ``b
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A regular expression for one word, for Java and DuckDB alike.
-WORD = r"[^\x20\x09-\x0D]+"
+from duonet.operators.lineage import cut
+
+__all__ = ["GOLDEN", "ascii_lower", "buckets_for", "cut", "map_rows", "mix64", "small", "table", "texts_of", "word_hashes"]
 
 #: Odd multiplier of the finalising mix (2**64 / golden ratio).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -24,24 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; sets one of our own only where none is configured."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        local = sc.master.startswith("local[") or sc.master == "local"
-        where = tempfile.mkdtemp(prefix="duonet-checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    sc.setCheckpointDir(where)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and cuts the lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def ascii_lower(column):
     """Lower-cases A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
