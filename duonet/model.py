@@ -19,6 +19,7 @@ from duonet.functions.stat import benjamini_hochberg, clean_names
 from duonet.kernels.tdist import two_sided_p
 from duonet.operators import aggregate, edges, stats, transform
 from duonet.operators.lineage import cut
+from duonet.shipping import importable
 
 
 def _check(ok: bool, message: str) -> None:
@@ -59,6 +60,7 @@ class Experiment:
     def from_long(cls, df: DataFrame, sample: str, feature: str, value: str, group: str, levels: tuple[str, str] | None = None, project_name: str = "experiment", scaled: bool = False) -> Experiment:
         """Raw positive values (or scaled ones). Names are cleaned; the originals stay in the metadata."""
         _check(isinstance(project_name, str), "project_name must be a string")
+        importable(df.sparkSession)
         kinds = dict(df.dtypes)
         _check(kinds[value].split("(")[0] in ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal"), "values must be numeric")
         long = sources.from_long(df, sample, feature, value, group)
