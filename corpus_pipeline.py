@@ -21,27 +21,33 @@ from duonet.llm.packing import best_fit_packing
 from duonet.llm.quality_classifier import keep_by_quality
 from duonet.llm.quality_rules import keep_by_rules
 from duonet.llm.substring_dedup import remove_repeats
+from duonet.shipping import importable
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return keep_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return keep_by_rules(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return keep_one_of_each(docs, n=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     cut_docs = remove_repeats(docs)
     length = F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut_docs.withColumn("n_chars", length).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return best_fit_packing(docs)
 
 
