@@ -22,6 +22,10 @@ inside tasks by a second sketch, one bit for each shingle's place, flipped by ea
 most the symmetric difference, so pairs beyond D go without being written; the others are verified exactly. Blocks of more
 than BLOCK nodes are compared in runs of at most about BLOCK, each pair of runs by itself.
 
+Links: two linked sets are always in one component, so all links are found by comparing each component's whole sets with one
+another, exactly. Components of more than RUN nodes or RUN_BYTES of hashes are compared in runs of about that, each pair of
+runs by itself. No pair is written: a task emits how many rows each node links with there, and the sums follow.
+
 Defined results: A-Z is lower-cased; a text with fewer words than n is one shingle of them all; a null, empty or blank text
 has no shingles and links with nothing. Rows with an equal id are texts of their own and take the least id of their
 component; a null id takes part and names nothing. Every input row gives one row; an empty table gives none. Only the id and
@@ -44,6 +48,8 @@ STAR_ROUNDS, BLOCK, BITS_EACH = 2, 512, 32
 #: Shared blocks for each partition of the tables that follow from them.
 ROWS_EACH = 20_000
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Nodes and bytes of hashes in a run of a component, and shingles that are counted at once.
+RUN, RUN_BYTES, COLUMNS = 1024, 8 << 20, 4096
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -341,22 +347,107 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
     return roots
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (least id of its component)."""
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of the left sets has in common with each of the right ones."""
+    ends = []
+    every = [np.concatenate(left), np.concatenate(right)]
+    both = np.intersect1d(*every)
+    for sets, hashes in zip((left, right), every, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(both, hashes)
+        held = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == hashes) if len(both) else np.zeros(0, np.int64)
+        held = held[np.argsort(at[held], kind="stable")]
+        ends.append((row[held], at[held]))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for begin in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - begin)
+        tiles = []
+        for n, (row, at) in zip((len(left), len(right)), ends, strict=True):
+            lo, hi = np.searchsorted(at, [begin, begin + width])
+            tile = np.zeros((n, width), np.float32)  # sums of at most COLUMNS ones are exact
+            tile[row[lo:hi], at[lo:hi] - begin] = 1
+            tiles.append(tile)
+        out += (tiles[0] @ tiles[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(roots: DataFrame, copies: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, links): how many rows hold another set that links with this one. roots: node, root; copies: sig, copies."""
+    members = cut(roots.withColumnRenamed("node", "sig").join(copies, "sig"))
+    own = cut(sets.select("sig", "hashes").join(members, "sig").dropDuplicates(["sig"]))
+    sizes = cut(own.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("hashes")).alias("bytes")).select("root", "bytes", F.greatest(F.ceil(F.col("n") / F.lit(RUN)), F.ceil(F.col("bytes") / F.lit(RUN_BYTES))).alias("runs")))
+    moved = sizes.agg(F.sum(F.col("bytes") * F.col("runs"))).first()[0] or 0
+    large = cut(sizes.where("runs > 1").select("root", "runs"))
+    own = own.join(small(large), "root", "left").withColumn("runs", F.coalesce("runs", F.lit(1).cast("long")))
+    own = own.withColumn("run", F.pmod(F.xxhash64("sig", "root"), F.col("runs")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1), lambda r: F.struct(F.least(r, F.col("run")).alias("i"), F.greatest(r, F.col("run")).alias("j")))
+    tasks = own.select("root", "run", "sig", "copies", "hashes", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "run", "sig", "copies", "hashes")
+    cells = max(64, int(moved) // RUN_BYTES)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("run", "ascending")])
+        root, sig = rows.column("root").to_pylist(), rows.column("sig").to_pylist()
+        i, j, run, copies = (rows.column(c).to_numpy() for c in ("i", "j", "run", "copies"))
+        sets = [np.frombuffer(b, "<u8") for b in rows.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        links = np.zeros(len(rows), np.int64)
+        change = [0, *(k for k in range(1, len(rows)) if root[k] != root[k - 1] or i[k] != i[k - 1] or j[k] != j[k - 1]), len(rows)]
+        for lo, hi in zip(change[:-1], change[1:], strict=True):
+            alone = i[lo] == j[lo]
+            left = np.arange(lo, hi) if alone else lo + np.flatnonzero(run[lo:hi] == i[lo])
+            right = left if alone else lo + np.flatnonzero(run[lo:hi] == j[lo])
+            if not len(left) or not len(right):
+                continue
+            common = in_common([sets[k] for k in left], [sets[k] for k in right])
+            ok = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+            if alone:
+                np.fill_diagonal(ok, False)
+            else:
+                links[right] += copies[left] @ ok
+            links[left] += ok @ copies[right]
+        some = np.flatnonzero(links)
+        return pa.table({"sig": pa.array([sig[k] for k in some], pa.binary()), "links": pa.array(links[some], pa.int64())})
+
+    found = tasks.withColumn("cell", F.pmod(F.xxhash64("root", "i", "j"), F.lit(cells))).groupBy("cell").applyInArrow(compare, "sig binary, links long")
+    return found.groupBy("sig").agg(F.sum("links").alias("links"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, star_rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's id, size and sig; the whole sets that may link; (node, root) over the sets that do."""
     signed = cut(signatures(docs, id_col, text_col, n))
     count = signed.agg(F.sum("size")).first()[0] or 0
     shared = shared_blocks(sketch(docs, text_col, n, percent), count, percent)
     sets = whole_sets(docs, signed, shared, id_col, text_col, n, percent)
-    roots = link_components(shared, sets, percent, star_rounds)
-    least = signed.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"))
-    rooted = least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
-    rows = signed
-    linked = rows.where("sig is not null").join(named, "sig").select("id", "size", "component_id")
-    alone = rows.where("sig is null").select("id", "size", F.col("id").alias("component_id"))
+    return signed, sets, link_components(shared, sets, percent, star_rounds)
+
+
+def _named(signed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, copies, component_id) of the sets."""
+    least = signed.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    rooted = least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", "copies", F.coalesce("root", "sig").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "copies", "component_id")
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (least id of its component)."""
+    signed, _, roots = _joined(docs, id_col, text_col, n, percent, star_rounds)
+    linked = signed.where("sig is not null").join(_named(signed, roots), "sig").select("id", "size", "component_id")
+    alone = signed.where("sig is null").select("id", "size", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, n_links (other rows it links with, copies of its text among them)."""
+    signed, sets, roots = _joined(docs, id_col, text_col, n, percent, star_rounds)
+    roots = cut(roots)
+    named = cut(_named(signed, roots))
+    named = named.join(link_counts(roots, named.select("sig", "copies"), sets, percent), "sig", "left")
+    named = named.select("sig", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = signed.where("sig is not null").join(named, "sig").select("id", "size", "component_id", "n_links")
+    alone = signed.where("sig is null").select("id", "size", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id", "n_links")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of the least id of each component, all their columns unchanged.
 
@@ -375,7 +466,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return ngram_links(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}

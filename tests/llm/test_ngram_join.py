@@ -83,3 +83,34 @@ def test_empty_tables(spark):
     assert j.ngram_components(empty(spark)).collect() == []
     only = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string")
     assert sorted(tuple(r) for r in j.ngram_components(only).collect()) == [(1, 0, 1), (2, 0, 2), (3, 1, 3)]
+
+
+def brute_links(found, n, percent):
+    s = sets_of(found, n)
+    close = lambda a, b: bool(s[a] and s[b]) and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])
+    return sorted((r[0] or -1, sum(close(k, o) for o in range(len(s)) if o != k)) for k, r in enumerate(found))
+
+
+@pytest.mark.parametrize(("run", "run_bytes", "columns"), [(1024, 8 << 20, 4096), (3, 8 << 20, 7), (1024, 3000, 4096)])
+def test_all_links_are_counted(spark, monkeypatch, run, run_bytes, columns):
+    """Links inside a component too, whole or in runs; here near copies of one another are most of the links."""
+    monkeypatch.setattr(j, "RUN", run)
+    monkeypatch.setattr(j, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(j, "COLUMNS", columns)
+    for n, percent in [(3, 90), (5, 80)]:
+        out = j.ngram_links(frame(spark), n=n, percent=percent).collect()
+        want = brute_links(rows(), n, percent)
+        assert sum(c for _, c in want) > 100
+        assert sorted((r["doc_id"] or -1, r["n_links"]) for r in out) == want
+    assert j.ngram_links(empty(spark)).collect() == []
+
+
+def test_op2_links_a_chain_by_its_pairs(spark, tmp_path):
+    """Of near copies all pairs count, not only those that join components; a copy counts as a row; a chain's ends don't link."""
+    words = [f"w{k}" for k in range(200)]
+    found = [(1, " ".join(words)), (2, " ".join(words[2:])), (3, " ".join(words[:-4])), (4, " ".join(words[10:-12])), (5, " ".join(words))]
+    spark.createDataFrame(found, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = j.op2_ngram_join(spark, str(tmp_path)).collect()
+    want = brute_links(found, 3, 90)
+    assert sorted((r["doc_id"], r["n_links"]) for r in out) == want
+    assert dict(want) == {1: 3, 2: 3, 3: 4, 4: 1, 5: 3}
