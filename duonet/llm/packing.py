@@ -10,7 +10,7 @@ Pieces are dealt by a hash into shards of about the same, bounded number of piec
 unfilled last bins are few against its thousands of pieces, and no task's work grows with the input.
 
 Defined results: a null or empty text takes one end token. Every input row is placed whole; repeated rows are placed each.
-Ties in length go by id and piece. An empty table gives no rows. Only the named columns are read.
+Ties in length go by id and piece, then by the order of rows. An empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duonet.llm._common import cut, map_rows, table, texts_of
+from duonet.llm._common import cut, map_rows, small, table, texts_of
 
 #: Permitted sequence lengths of the registered query.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -88,19 +88,22 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         n = pa.array([len(t.split()) + 1 for t in texts_of(batch.column(1))], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), n], names=["id", "tokens"])
 
-    measured = cut(map_rows(docs.select(id_col, text_col), measure, f"id {id_type}, tokens long"))
+    # rows whose id occurs again, or is null, are told apart by a number of their own, fixed at the checkpoint; others have 0
+    measured = cut(map_rows(docs.select(id_col, text_col), measure, f"id {id_type}, tokens long").withColumn("row", F.monotonically_increasing_id() + 1))
+    again = cut(measured.groupBy("id").count().where("count > 1").select(F.col("id").alias("again"), F.lit(True).alias("repeated")))
+    measured = measured.join(small(again), F.col("id").eqNullSafe(F.col("again")), "left").select("id", "tokens", F.when(F.col("repeated"), F.col("row")).otherwise(F.lit(0)).alias("row"))
     last = F.ceil(F.col("tokens") / F.lit(longest)) - 1
-    pieces = measured.select("id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-    pieces = pieces.select("id", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest).cast("long"), F.col("tokens") - F.col("piece") * longest).alias("length"))
+    pieces = measured.select("id", "row", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    pieces = pieces.select("id", "row", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest).cast("long"), F.col("tokens") - F.col("piece") * longest).alias("length"))
     full = pieces.where(F.col("length") == longest)
     n = pieces.where(F.col("length") < longest).count()
     n_shards = max(1, -(-n // SHARD_PIECES))
-    # equal ids are told apart by their place among equals, so that repeated rows do not pile up in one shard
-    shard = F.pmod(F.xxhash64(F.col("id").cast("string"), "piece", "length"), F.lit(n_shards))
+    # with the row's number, so that repeated rows do not pile up in one shard
+    shard = F.pmod(F.xxhash64(F.col("id").cast("string"), "row", "piece", "length"), F.lit(n_shards))
     rest = pieces.where(F.col("length") < longest).withColumn("shard", shard)
 
     def pack_shard(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         where, offset, down = pack(rows.column("length").to_pylist(), permitted, sequence_cost)
         used = np.zeros(len(down), np.int64)
         np.add.at(used, where, rows.column("length").to_numpy())
@@ -111,7 +114,7 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     packed = rest.groupBy("shard").applyInArrow(pack_shard, f"id {id_type}, piece long, start long, length long, bin_id long, capacity long, bin_offset long, bin_used long")
     # a full piece is a sequence of its own; its bin is named by a negative hash of what it holds
-    alone = -F.abs(F.xxhash64(F.col("id").cast("string"), "piece")) - 1
+    alone = -F.abs(F.xxhash64(F.col("id").cast("string"), "row", "piece")) - 1
     whole = full.select("id", "piece", "start", "length", alone.alias("bin_id"), F.lit(longest).cast("long").alias("capacity"), F.lit(0).cast("long").alias("bin_offset"), F.col("length").alias("bin_used"))
     return packed.unionByName(whole).withColumnRenamed("id", id_col)
 

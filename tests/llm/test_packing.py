@@ -54,3 +54,17 @@ def test_every_document_is_placed_whole(spark):
 
 def test_empty_table(spark):
     assert p.best_fit_packing(empty(spark)).collect() == []
+
+
+def test_repeated_rows_have_bins_and_shards_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(p, "SHARD_PIECES", 20)
+    long = [(1, "a " * 200)] * 3 + [(None, "b " * 200), (None, "c " * 170), (None, "b " * 200), (2, "d " * 200)]
+    short = [(5, "x y")] * 200 + [(None, "x y")] * 200
+    df = spark.createDataFrame(long + short, "doc_id long, text string").repartition(3)
+    out = p.best_fit_packing(df, permitted=(32, 64)).collect()
+    full = [r for r in out if r["length"] == 64]
+    assert len(full) == 20 and len({r["bin_id"] for r in full}) == 20
+    for i in (5, None):
+        shards = [r["bin_id"] >> 32 for r in out if r["doc_id"] == i and r["length"] == 3]
+        assert len(shards) == 200 and max(shards.count(s) for s in set(shards)) < 50
+    assert sum(r["length"] for r in out) == sum(len(t.split()) + 1 for _, t in long + short)
