@@ -449,20 +449,36 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of the least id of each component, all their columns unchanged.
+    """One row of each component, that of the least (id, sig), null ids last; all its columns unchanged.
 
-    Rows that repeat an id stay or go together, and of equal texts under one id one row stays. Rows without shingles and rows
-    with a null id stay. The ids that go are broadcast only while they are few.
+    Rows are told apart by id and shingle set, so rows of one id with different texts stay or go by themselves; of equal ones
+    one row stays. Rows without shingles stay, but for a repeated id and text. The ids that go are broadcast only while they
+    are few.
     """
-    found = cut(ngram_components(docs, id_col, text_col, n, percent)).select(F.col(id_col).alias("__id"), "component_id")
-    gone = cut(found.where("__id <> component_id").select("__id").distinct())
-    again = found.where("__id is not null").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id")
-    kept = docs.join(small(gone), docs[id_col] == gone["__id"], "left_anti")
+    signed, _, roots = _joined(docs, id_col, text_col, n, percent, STAR_ROUNDS)
+    members = signed.where("sig is not null").select("id", "sig").distinct().join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    members = cut(members.withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "sig")))
+    gone = cut(members.join(members.groupBy("root").agg(F.min("rank").alias("first")), "root").where("rank <> first").select(F.col("id").alias("__id"), F.col("sig").alias("__gone")))
+    again = cut(signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("__again")))
+    kept = docs.join(small(cut(gone.where("__id is not null").join(small(again), F.col("__id") == F.col("__again"), "left_anti").select("__id"))), docs[id_col] == F.col("__id"), "left_anti")
     if again.isEmpty():
         return kept
-    again = cut(again)
-    once = kept.join(again, kept[id_col] == again["__id"], "left_anti")
-    return once.unionByName(kept.join(again, kept[id_col] == again["__id"], "left_semi").dropDuplicates([id_col, text_col]))
+    once = kept.join(small(again), kept[id_col].eqNullSafe(F.col("__again")), "left_anti")
+    from pyspark.sql.types import BinaryType, StructField, StructType
+    from xxhash import xxh3_128_digest
+
+    place = docs.columns.index(text_col)
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, n) for t in texts_of(batch.column(place))]
+        sigs = pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns, sigs], names=[*batch.schema.names, "__sig"])
+
+    several = map_rows(docs.join(small(again), docs[id_col].eqNullSafe(F.col("__again")), "left_semi"), sign, StructType([*docs.schema.fields, StructField("__sig", BinaryType())]))
+    stay = several.join(gone, several[id_col].eqNullSafe(gone["__id"]) & (several["__sig"] == gone["__gone"]), "left_anti")
+    nothing = F.col(id_col).isNull() & F.col("__sig").isNull()
+    one = stay.where(~nothing).withColumn("__key", F.coalesce("__sig", F.col(text_col).cast("binary"))).dropDuplicates([id_col, "__key"])
+    return once.unionByName(one.select(docs.columns)).unionByName(stay.where(nothing).select(docs.columns))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

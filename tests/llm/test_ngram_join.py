@@ -114,3 +114,13 @@ def test_op2_links_a_chain_by_its_pairs(spark, tmp_path):
     want = brute_links(found, 3, 90)
     assert sorted((r["doc_id"], r["n_links"]) for r in out) == want
     assert dict(want) == {1: 3, 2: 3, 3: 4, 4: 1, 5: 3}
+
+
+def test_one_of_each_by_row_where_ids_repeat(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(100)) for x in "abcd")
+    found = [(3, a), (9, a + " more"), (9, b), (9, c), (12, c + " more"), (15, c), (None, d), (None, d + " more"), (None, b + " more"), (None, None), (None, ""), (20, None)]
+    out = j.keep_one_of_each(spark.createDataFrame(found, "doc_id long, text string").repartition(3)).collect()
+    got = [(r["doc_id"], r["text"]) for r in out]
+    assert sorted(got[k] for k in range(len(got)) if got[k][0] is not None and got[k][1]) == [(3, a), (9, b), (9, c)]
+    assert len([t for i, t in got if i is None and t]) == 1 and {t for i, t in got if i is None and t} <= {d, d + " more"}
+    assert sorted(map(repr, [x for x in got if not x[1]])) == ["(20, None)", "(None, '')", "(None, None)"]
