@@ -6,6 +6,7 @@ Two groups, in order: the first is the reference, and every contrast is second m
 from __future__ import annotations
 
 import dataclasses
+import datetime
 import warnings
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duonet import networks as nw
-from duonet import sources
+from duonet import sinks, sources
 from duonet.functions.stat import benjamini_hochberg, clean_names
 from duonet.kernels.tdist import two_sided_p
 from duonet.operators import aggregate, edges, stats, transform
@@ -22,6 +23,10 @@ from duonet.operators.lineage import cut
 from duonet.shipping import importable
 
 
+#: Least eigenvalues up to this make a data set unstable.
+UNSTABLE = 1e-5
+
+
 def _check(ok: bool, message: str) -> None:
     if not ok:
         raise ValueError(message)
@@ -52,6 +57,7 @@ class Experiment:
     enriched: DataFrame | None = None
     original: Experiment | None = None
     feature_membership: DataFrame | None = None
+    consensus: nw.Consensus | None = None
     settings: dict = field(default_factory=dict)
 
     # construction
@@ -63,17 +69,21 @@ class Experiment:
         importable(df.sparkSession)
         kinds = dict(df.dtypes)
         _check(kinds[value].split("(")[0] in ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal"), "values must be numeric")
-        long = sources.from_long(df, sample, feature, value, group)
-        found = sorted(r[0] for r in long.select("group").distinct().limit(3).collect() if r[0] is not None)
+        long = cut(sources.from_long(df, sample, feature, value, group))  # the input is computed once; all below reads this
+        seen = long.groupBy("group").agg(F.count_if(F.col("value").isNull()).alias("nulls"), F.min("value").alias("least")).limit(4).collect()
+        found = sorted(r["group"] for r in seen if r["group"] is not None)
         levels = tuple(levels) if levels else tuple(found)
         _check(len(found) == 2 and set(levels) == set(found), f"two groups are needed, found {found}")
-        bad = long.agg(F.sum(F.col("value").isNull().cast("int")), F.min("value")).first()
-        _check(not bad[0], "values must not be null")
-        _check(scaled or bad[1] > 0, "raw values must be positive")
-        named = clean_names(long.withColumnRenamed("feature_id", "original_name"), "original_name", "feature_id")
-        features = named.select("feature_id", "original_name").distinct()
+        _check(not any(r["nulls"] for r in seen), "values must not be null")
+        _check(scaled or all(r["least"] > 0 for r in seen), "raw values must be positive")
+        names = long.select(F.col("feature_id").alias("original_name")).distinct()
+        features = cut(clean_names(names, "original_name", "feature_id").select("feature_id", "original_name"))
         samples = long.select("group", F.col("sample_id")).distinct().withColumn("original_name", F.col("sample_id"))
-        base = cut(named.select("assay", "group", "sample_id", "feature_id", "value"))
+        renamed = features.where("feature_id <> original_name")
+        base = long
+        if not renamed.isEmpty():
+            base = long.withColumnRenamed("feature_id", "original_name").join(features, "original_name")
+        base = base.select("assay", "group", "sample_id", "feature_id", "value")
         if scaled:
             warnings.warn("differential statistics are computed on scaled data", stacklevel=2)
             warnings.warn("scaled data can not be logged again", stacklevel=2)
@@ -84,7 +94,11 @@ class Experiment:
             shown = transform.autoscale(logged).withColumn("assay", F.lit("log_scaled_data"))
             order = base.columns
             tables = base.unionByName(logged.select(order)).unionByName(shown.select(order))
-        return cls(project_name, levels, tables, samples, features, stats.node_list(logged, *levels), stats.diagnostics(shown))
+        checked = cut(stats.diagnostics(shown))
+        weak = [r["scope"] for r in checked.collect() if r["min_eigen"] is not None and r["min_eigen"] <= UNSTABLE]  # three rows
+        if weak:
+            warnings.warn(f"the correlation matrix of {', '.join(sorted(weak))} is close to singular (least eigenvalue at most {UNSTABLE}); collapse correlated features first", stacklevel=2)
+        return cls(project_name, levels, tables, samples, features, stats.node_list(logged, *levels), checked)
 
     @classmethod
     def from_wide(cls, df: DataFrame, sample: str, group: str, **options) -> Experiment:
@@ -144,7 +158,7 @@ class Experiment:
         return self._with_networks(w)
 
     def _with_networks(self, w: DataFrame) -> Experiment:
-        return dataclasses.replace(self, weighted=w, joint_edges=edges.union_classified(w, *self.groups), modules=None, module_table=None, enriched=None)
+        return dataclasses.replace(self, weighted=w, joint_edges=edges.union_classified(w, *self.groups), modules=None, module_table=None, enriched=None, consensus=None)
 
     def filter_networks(self, pcor: float | None = None, top_percent: float | None = None) -> Experiment:
         """Exactly one filter; filters compose, because each replaces the networks."""
@@ -156,15 +170,18 @@ class Experiment:
         _check(self.joint_edges is not None, "estimate the networks first")
         names = [r[0] for r in self.features.select("feature_id").distinct().orderBy("feature_id").limit(nw.MOST_FEATURES + 1).collect()]
         _check(len(names) <= nw.MOST_FEATURES, f"clustering takes at most {nw.MOST_FEATURES} features")
-        pairs = [(r[0], r[1]) for r in self.joint_edges.select("feature_a", "feature_b").collect()]  # of those features
-        labels = nw.consensus_modules(self._spark(), names, pairs, tau, max_iterations, seed)
+        at = {f: k for k, f in enumerate(names)}
+        ends = self.joint_edges.select("feature_a", "feature_b").toArrow()  # of those features
+        pairs = tuple(np.array([at[f] for f in ends.column(c).to_pylist()], np.int64) for c in ("feature_a", "feature_b"))
+        agreed = nw.consensus(self._spark(), len(names), pairs, tau, max_iterations, seed)
+        labels = agreed.labels
         sizes = np.bincount(labels)
         order = {c: k + 1 for k, c in enumerate(c for c in range(len(sizes)) if sizes[c] > 1)}
         rows = [(f"subnetwork{order[c]}" if c in order else "independent", f) for f, c in zip(names, labels.tolist(), strict=True)]
         members = self._spark().createDataFrame(rows, "module string, feature_id string")
         summary = edges.module_summary(members, self.nodes, self.joint_edges)
         nodes = self.nodes.drop("membership").join(members.select("feature_id", F.regexp_replace("module", "subnetwork", "").alias("membership")), "feature_id", "left")
-        return dataclasses.replace(self, modules=members, module_table=summary, nodes=nodes, enriched=None)
+        return dataclasses.replace(self, modules=members, module_table=summary, nodes=nodes, enriched=None, consensus=agreed)
 
     def enrich(self, min_size: int = 5, assay: str | None = None, pathways: DataFrame | None = None) -> Experiment:
         """pathways: (module, feature_id) in place of the modules found."""
@@ -174,9 +191,11 @@ class Experiment:
         names, _, X = nw.dense_groups(self.expression_data(assay), list(self.groups))
         at = {f: k for k, f in enumerate(names)}
         A = [np.zeros((len(names), len(names))) for _ in self.groups]
-        for r in self.weighted.collect():  # groups x features squared at most
-            g = self.groups.index(r["group"])
-            A[g][at[r["feature_a"]], at[r["feature_b"]]] = A[g][at[r["feature_b"]], at[r["feature_a"]]] = r["w"]
+        ends = self.weighted.select("group", "feature_a", "feature_b", "w").toArrow()  # groups x features squared at most, as columns
+        i, j = (np.array([at[f] for f in ends.column(c).to_pylist()], np.int64) for c in ("feature_a", "feature_b"))
+        owner, w = np.array([self.groups.index(g) for g in ends.column("group").to_pylist()], np.int64), ends.column("w").to_numpy()
+        for g, own in enumerate(A):
+            own[i[owner == g], j[owner == g]] = own[j[owner == g], i[owner == g]] = w[owner == g]
         source = pathways if pathways is not None else self.modules.where("module <> 'independent'")
         held: dict[str, list[str]] = {}
         for r in source.join(self.features.select("feature_id").distinct(), "feature_id", "left_semi").collect():
@@ -291,9 +310,10 @@ class Experiment:
     def layout(self, type: str = "group_networks", subtype: str = "All", iterations: int = 100, seed: int = 0) -> list[tuple[str, float, float]]:
         """Force-directed coordinates of a (small) drawing."""
         nodes, drawn = self.plot_selection(type, subtype)
-        names = sorted(r[0] for r in nodes.select("feature_id").limit(nw.MOST_FEATURES).collect())
+        names = sorted(r[0] for r in nodes.select("feature_id").limit(nw.MOST_FEATURES + 1).collect())
+        _check(len(names) <= nw.MOST_FEATURES, f"a drawing has at most {nw.MOST_FEATURES} nodes")
         at = {f: k for k, f in enumerate(names)}
-        links = np.array([(at[r[0]], at[r[1]]) for r in drawn.select("feature_a", "feature_b").collect()], int).reshape(-1, 2)
+        links = np.array([(at[r[0]], at[r[1]]) for r in drawn.select("feature_a", "feature_b").collect()], int).reshape(-1, 2)  # of those nodes
         xy = np.random.default_rng(seed).normal(size=(len(names), 2))
         k = 1 / np.sqrt(max(len(names), 1))
         for step in range(iterations):
@@ -312,17 +332,20 @@ class Experiment:
     def to_dot(self, type: str = "group_networks", subtype: str = "All") -> str:
         """A (small) drawing in the DOT language."""
         nodes, drawn = self.plot_selection(type, subtype)
+        _check(nodes.limit(nw.MOST_FEATURES + 1).count() <= nw.MOST_FEATURES, f"a drawing has at most {nw.MOST_FEATURES} nodes")
         style = {1: "solid", 2: "dashed", 3: "dotted"}
         quote = lambda x: '"' + str(x).replace('"', '\\"') + '"'
-        lines = [f"  {quote(r['feature_id'])} [style=filled, fillcolor={r['color']}];" for r in nodes.orderBy("feature_id").limit(nw.MOST_FEATURES).collect()]
+        lines = [f"  {quote(r['feature_id'])} [style=filled, fillcolor={r['color']}];" for r in nodes.orderBy("feature_id").collect()]
         lines += [f"  {quote(r['feature_a'])} -- {quote(r['feature_b'])} [color={r['color']}, style={style[r['lty']]}];" for r in drawn.orderBy("feature_a", "feature_b").collect()]
         return "graph {\n" + "\n".join(lines) + "\n}\n"
 
-    def write_network_files(self, path: str) -> Experiment:
-        """<path>/<project>_nodelist and _edgelist as CSV with a header; fields are quoted where they need it."""
+    def write_network_files(self, path: str, date: str | None = None) -> Experiment:
+        """<path>/<project>_nodelist_<date>.csv and _edgelist_<date>.csv, one file each, with a header; fields are quoted where
+        they need it. date: today's by default, as year-month-day."""
         _check(self.joint_edges is not None, "estimate the networks first")
+        day = date or datetime.date.today().isoformat()
         for name, table in (("nodelist", self.nodes), ("edgelist", self.joint_edges)):
-            table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{self.project_name}_{name}")
+            sinks.write_single_csv(table, f"{path}/{self.project_name}_{name}_{day}.csv")
         return self
 
     # accessors
@@ -393,16 +416,38 @@ class Experiment:
         return self.weighted if weighted else self.weighted.select("group", "feature_a", "feature_b", (F.col("w") != 0).alias("connected"))
 
     def adjacency_graph(self, graph: str = "joint") -> DataFrame:
-        _check(graph in ("joint", *self.groups), f"graph is joint or one of {self.groups}")
+        """Edges with styles of the joint graph, one group's edges, or (consensus) pairs of features with their share of agreement."""
+        _check(graph in ("joint", "consensus", *self.groups), f"graph is joint, consensus or one of {self.groups}")
+        if graph == "consensus":
+            return self.consensus_matrix()
         return edges.styles(self.joint_edges, *self.groups) if graph == "joint" else self.weighted.where(F.col("group") == graph)
 
+    def _clustered(self) -> list[str]:
+        _check(self.consensus is not None, "cluster first")
+        return [r[0] for r in self.features.select("feature_id").distinct().orderBy("feature_id").collect()]  # checked by cluster()
+
+    def consensus_clustering(self) -> DataFrame:
+        """algorithm, feature_id, cluster: the last partition of every detector, and the agreed one as consensus."""
+        names = self._clustered()
+        found = {**self.consensus.partitions, "consensus": self.consensus.labels}
+        rows = [(a, f, int(c)) for a, labels in found.items() for f, c in zip(names, labels, strict=True)]
+        return self._spark().createDataFrame(rows, "algorithm string, feature_id string, cluster int")
+
+    def consensus_matrix(self) -> DataFrame:
+        """feature_a, feature_b, w: the pairs that the last round of detection was run on, with their share of agreement."""
+        names = self._clustered()
+        i, j = np.nonzero(np.triu(self.consensus.matrix, 1))
+        rows = [(names[a], names[b], float(w)) for a, b, w in zip(i, j, self.consensus.matrix[i, j], strict=True)]
+        return self._spark().createDataFrame(rows, "feature_a string, feature_b string, w double")
+
     def summary(self) -> DataFrame:
         return self.module_table
 
     def subnetwork_membership(self, wide: bool = False) -> DataFrame:
         if not wide:
             return self.modules
-        names = sorted(r[0] for r in self.features.select("feature_id").distinct().collect())
+        names = sorted(r[0] for r in self.features.select("feature_id").distinct().limit(nw.MOST_FEATURES + 1).collect())
+        _check(len(names) <= nw.MOST_FEATURES, f"the wide table has at most {nw.MOST_FEATURES} features")
         return self.modules.groupBy("module").pivot("feature_id", names).agg(F.first(F.lit(1))).na.fill(0)
 
     def enrichment_results(self) -> DataFrame:

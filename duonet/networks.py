@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from duonet.kernels.community import DETECTORS, consensus_matrix, dense
 from duonet.kernels.enrichment import module_tests
-from duonet.kernels.glasso import NOISE, information, joint_fit, partial_correlations
+from duonet.kernels.glasso import NOISE, glasso, information, joint_fit, partial_correlations
 from duonet.operators.lineage import cut
 from duonet.operators.prep import subsample_sizes
 from duonet.operators.stats import pair_moments
@@ -38,27 +38,36 @@ class Moments:
     n: list[int]
 
 
-def moments(df: DataFrame, groups: list[str]) -> Moments:
-    """df: group, sample_id, feature_id, value."""
+def numbered(df: DataFrame) -> tuple[list[str], DataFrame]:
+    """The features in order (refused beyond MOST_FEATURES), and df with their places as feature_id: what travels is numbers."""
     features = [r[0] for r in df.select("feature_id").distinct().orderBy("feature_id").limit(MOST_FEATURES + 1).collect()]
     if len(features) > MOST_FEATURES:
         raise ValueError(f"the kernels take at most {MOST_FEATURES} features")
-    at, p = {f: k for k, f in enumerate(features)}, len(features)
-    parts = pair_moments(df.where(F.col("group").isin(groups)), ["group"]).toPandas()  # groups x features squared
-    cov, second, n = [], [], []
+    places = df.sparkSession.createDataFrame([(f, k) for k, f in enumerate(features)], "feature_id string, place int")
+    placed = df.join(F.broadcast(places), "feature_id").withColumn("feature_id", F.col("place")).drop("place")  # at most MOST_FEATURES rows
+    return features, placed
+
+
+def moments(df: DataFrame, groups: list[str]) -> Moments:
+    """df: group, sample_id, feature_id, value."""
+    features, placed = numbered(df.where(F.col("group").isin(groups)))
+    p = len(features)
+    parts = pair_moments(placed, ["group"]).select("group", "feature_a", "feature_b", "n", "sa", "sb", "sab").toArrow()  # groups x features squared, as columns of numbers
+    owner = np.array(parts.column("group").to_pylist(), dtype=object)
+    i, j, n, sa, sb, sab = (parts.column(c).to_numpy() for c in ("feature_a", "feature_b", "n", "sa", "sb", "sab"))
+    cov, second, sizes = [], [], []
     for g in groups:
-        own = parts[parts["group"] == g]
-        i, j = own["feature_a"].map(at).to_numpy(), own["feature_b"].map(at).to_numpy()
+        own = owner == g
         c, s = np.full((p, p), np.nan), np.full((p, p), np.nan)
-        m = own["n"].to_numpy()
+        a, b, m = i[own], j[own], n[own]
         with np.errstate(invalid="ignore", divide="ignore"):
-            value = (own["sab"].to_numpy() - own["sa"].to_numpy() * own["sb"].to_numpy() / m) / (m - 1)
-        c[i, j] = c[j, i] = value
-        s[i, j] = s[j, i] = own["sab"].to_numpy() / m
+            value = (sab[own] - sa[own] * sb[own] / m) / (m - 1)
+        c[a, b] = c[b, a] = value
+        s[a, b] = s[b, a] = sab[own] / m
         cov.append(c)
         second.append(s)
-        n.append(int(m.max()) if len(m) else 0)
-    return Moments(features, cov, second, n)
+        sizes.append(int(m.max()) if len(m) else 0)
+    return Moments(features, cov, second, sizes)
 
 
 def asymptotic_lambda(p: int, n: int) -> float:
@@ -84,26 +93,33 @@ def _single_threaded() -> None:
 
 
 def bic_path(spark: SparkSession, m: Moments, lambdas: list[float], stage: str, eps: float = 1e-6, eta: float = 0.1) -> DataFrame:
-    """stage, lambda, bic, likelihood, is_finite: one joint fit for each lambda, one task each."""
-    shared = spark.sparkContext.broadcast((m.covariance, m.n))
-    grid = spark.createDataFrame([(stage, float(v)) for v in lambdas], "stage string, lambda double").repartition(max(1, len(lambdas)))
+    """stage, lambda, bic, likelihood, is_finite: one joint fit for each lambda.
+
+    Neighbouring lambdas share a task, and each fit's solver begins where the one before ended.
+    """
+    shared = spark.sparkContext.broadcast((m.covariance, m.n, [float(v) for v in lambdas]))
+    n_tasks = max(1, min(len(lambdas), 4 * spark.sparkContext.defaultParallelism))
 
     def fit(batches):
         _single_threaded()
-        S, n = shared.value
+        S, n, grid = shared.value
+        last = None
         for batch in batches:
             out = {"stage": [], "lambda": [], "bic": [], "likelihood": [], "is_finite": []}
-            for r in batch.to_pylist():
+            for k in batch.column(0).to_pylist():
                 try:
-                    bic, like = information(S, n, joint_fit(S, r["lambda"], eta=eta), eps, eta)
+                    found = joint_fit(S, grid[k], eta=eta, start=last)
+                    bic, like = information(S, n, found, eps, eta)
+                    last = found
                 except (np.linalg.LinAlgError, FloatingPointError):
                     bic = like = float("inf")
+                    last = None
                 ok = bool(np.isfinite(bic))
-                for k, v in (("stage", r["stage"]), ("lambda", r["lambda"]), ("bic", bic if ok else None), ("likelihood", like if ok else None), ("is_finite", ok)):
-                    out[k].append(v)
+                for name, v in (("stage", stage), ("lambda", grid[k]), ("bic", bic if ok else None), ("likelihood", like if ok else None), ("is_finite", ok)):
+                    out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("stage", pa.string()), ("lambda", pa.float64()), ("bic", pa.float64()), ("likelihood", pa.float64()), ("is_finite", pa.bool_())]))
 
-    return cut(grid.mapInArrow(fit, "stage string, lambda double, bic double, likelihood double, is_finite boolean"))
+    return cut(spark.range(0, len(lambdas), 1, n_tasks).mapInArrow(fit, "stage string, lambda double, bic double, likelihood double, is_finite boolean"))
 
 
 def best_lambda(path: DataFrame) -> float:
@@ -128,20 +144,44 @@ def tune(spark: SparkSession, m: Moments, lambdas: list[float] | None, interval:
     return coarse.unionByName(refined), best_lambda(refined)
 
 
+def tune_one_group(df: DataFrame, lambda_values: list[float] | None = None, interval: float = 1e-3, informed: bool = True, eps: float = 1e-6, eta: float = 0.1) -> tuple[DataFrame, float]:
+    """Lambda by BIC for a single cohort. df: sample_id, feature_id, value. The path and the best lambda."""
+    one = df.select(F.lit("all").alias("group"), F.col("sample_id").cast("string").alias("sample_id"), F.col("feature_id").cast("string").alias("feature_id"), "value")
+    return tune(df.sparkSession, moments(one, ["all"]), lambda_values, interval, informed, eps, eta)
+
+
+def one_group_network(df: DataFrame, optimal_lambda: float | None = None, eps: float = 1e-6, **tuning) -> DataFrame:
+    """feature_a, feature_b, w: partial correlations of a single cohort; lambda is tuned where none is given."""
+    one = df.select(F.lit("all").alias("group"), F.col("sample_id").cast("string").alias("sample_id"), F.col("feature_id").cast("string").alias("feature_id"), "value")
+    m = moments(one, ["all"])
+    lam = optimal_lambda if optimal_lambda is not None else tune_one_group(df, eps=eps, **tuning)[1]
+    return final_networks(df.sparkSession, m, ["all"], [lam], None, eps).drop("group")
+
+
 def dense_groups(df: DataFrame, groups: list[str]) -> tuple[list[str], list[list[str]], list[np.ndarray]]:
     """Features, sample ids and samples x features matrices in a fixed order; refuses more than MOST_CELLS values."""
-    n = df.where(F.col("group").isin(groups)).count()
-    if n > MOST_CELLS:
+    rows = df.where(F.col("group").isin(groups))
+    if rows.count() > MOST_CELLS:
         raise ValueError(f"resampling and enrichment take at most {MOST_CELLS} values; aggregate or sample first")
-    table = df.where(F.col("group").isin(groups)).select("group", F.col("sample_id").cast("string").alias("s"), "feature_id", "value").toPandas()
-    features = sorted(table["feature_id"].unique())
+    features, placed = numbered(rows)
+    table = placed.select("group", F.col("sample_id").cast("string").alias("s"), "feature_id", F.col("value").cast("double").alias("value")).toArrow()
+    owner, s = (table.column(c).combine_chunks().dictionary_encode() for c in ("group", "s"))
+    at, value = table.column("feature_id").to_numpy(), table.column("value").to_numpy()
+    owner_of, name_of = owner.dictionary.to_pylist(), np.array(s.dictionary.to_pylist(), dtype=object)
+    owner, s = owner.indices.to_numpy(), s.indices.to_numpy()
     ids, out = [], []
     for g in groups:
-        wide = table[table["group"] == g].pivot(index="s", columns="feature_id", values="value").sort_index()[features]
-        if wide.isna().any().any():
-            raise ValueError("every sample needs a value for every feature")
-        ids.append(list(wide.index))
-        out.append(wide.to_numpy(float))
+        own = owner == (owner_of.index(g) if g in owner_of else -1)
+        kept, row = np.unique(s[own], return_inverse=True)
+        order = np.argsort(name_of[kept], kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        wide = np.full((len(kept), len(features)), np.nan)
+        wide[rank[row], at[own]] = value[own]
+        if own.sum() != wide.size or np.isnan(wide).any():
+            raise ValueError("every sample needs one value for every feature")
+        ids.append(name_of[kept][order].tolist())
+        out.append(wide)
     return features, ids, out
 
 
@@ -205,16 +245,19 @@ def stability(spark: SparkSession, df: DataFrame, groups: list[str], lam: float,
     return hits.where("g >= 0").select(F.get(labels, F.col("g")).alias("group"), F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"), "n_selected", (F.col("n_selected") / F.lit(float(fits))).alias("prob"))
 
 
-def final_networks(spark: SparkSession, m: Moments, groups: list[str], lambdas: list[float], probabilities: DataFrame | None, eps: float) -> DataFrame:
+def final_networks(spark: SparkSession, m: Moments, groups: list[str], lambdas: list[float], probabilities: DataFrame | None, eps: float, tol: float = 1e-4) -> DataFrame:
     """group, feature_a, feature_b, w: partial correlations of each group by itself, one task each; |w| >= eps."""
     at, p = {f: k for k, f in enumerate(m.features)}, len(m.features)
     weights = [np.ones((p, p)) for _ in groups]
     if probabilities is not None:
         weights = [np.full((p, p), 1 / 1e-4) for _ in groups]
-        for r in probabilities.collect():  # at most groups x features squared
-            if r["group"] in groups and r["feature_a"] in at and r["feature_b"] in at:
-                g, i, j = groups.index(r["group"]), at[r["feature_a"]], at[r["feature_b"]]
-                weights[g][i, j] = weights[g][j, i] = 1 / (1e-4 + r["prob"])
+        found = probabilities.select("group", "feature_a", "feature_b", "prob").toArrow()  # at most groups x features squared, as columns
+        place = {g: k for k, g in enumerate(groups)}
+        g, i, j = (np.array([known.get(x, -1) for x in found.column(c).to_pylist()], np.int64) for known, c in ((place, "group"), (at, "feature_a"), (at, "feature_b")))
+        prob = found.column("prob").to_numpy()
+        for k in range(len(groups)):
+            own = (g == k) & (i >= 0) & (j >= 0)
+            weights[k][i[own], j[own]] = weights[k][j[own], i[own]] = 1 / (1e-4 + prob[own])
     shared = spark.sparkContext.broadcast((m, weights, lambdas))
 
     def run(batches):
@@ -222,13 +265,23 @@ def final_networks(spark: SparkSession, m: Moments, groups: list[str], lambdas:
         m, weights, lambdas = shared.value
         for batch in batches:
             for g in batch.column(0).to_pylist():
-                w = partial_correlations(m.second[g], lambdas[g], weights[g])
+                w = partial_correlations(m.second[g], lambdas[g], weights[g], tol=tol)
                 i, j = np.nonzero(np.triu(np.abs(w) >= eps, 1))
                 yield pa.RecordBatch.from_pydict({"group": pa.array([groups[g]] * len(i), pa.string()), "feature_a": pa.array([m.features[k] for k in i], pa.string()), "feature_b": pa.array([m.features[k] for k in j], pa.string()), "w": w[i, j]})
 
     return cut(spark.range(len(groups)).repartition(len(groups)).mapInArrow(run, "group string, feature_a string, feature_b string, w double"))
 
 
+def violations(S: np.ndarray, lam: float) -> tuple[int, int]:
+    """Pairs of one group's network, and how many of them break the optimality conditions of the graphical lasso."""
+    theta = glasso(S, lam, penalize_diagonal=False)
+    i, j = np.triu_indices(len(S), 1)
+    gap, t = (np.linalg.inv(theta) - S)[i, j], theta[i, j]
+    slack = 10 * 1e-3 * float(np.abs(S[i, j]).mean())  # ten times what the solver stops at
+    broken = np.where(t != 0, np.abs(gap - lam * np.sign(t)) > slack, np.abs(gap) > lam + slack)
+    return len(i), int(broken.sum())
+
+
 def detect(spark: SparkSession, W: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     """All detectors' partitions, a task each; one that fails is left out."""
     shared = spark.sparkContext.broadcast(W)
@@ -244,23 +297,35 @@ def detect(spark: SparkSession, W: np.ndarray, seed: int) -> dict[str, np.ndarra
                     continue
                 yield pa.RecordBatch.from_pydict({"algorithm": pa.array([name], pa.string()), "labels": pa.array([labels], pa.list_(pa.int32()))})
 
-    return {r["algorithm"]: np.array(r["labels"]) for r in tasks.mapInArrow(run, "algorithm string, labels array<int>").collect()}
+    found = {r["algorithm"]: np.array(r["labels"]) for r in tasks.mapInArrow(run, "algorithm string, labels array<int>").collect()}
+    if not found:
+        raise RuntimeError("every community detector failed")
+    return found
+
+
+@dataclass(frozen=True)
+class Consensus:
+    """The agreed partition, every detector's last partition, and the matrix that they were detected on (shares of agreement)."""
+
+    labels: np.ndarray
+    partitions: dict[str, np.ndarray]
+    matrix: np.ndarray
+    iterations: int
 
 
-def consensus_modules(spark: SparkSession, nodes: list[str], pairs: list[tuple[str, str]], tau: float, max_iterations: int, seed: int) -> np.ndarray:
-    """The consensus partition of the nodes (as many as the kernels take) over the unweighted union of edges."""
-    at = {f: k for k, f in enumerate(nodes)}
-    W = np.zeros((len(nodes), len(nodes)))
-    for a, b in pairs:
-        W[at[a], at[b]] = W[at[b], at[a]] = 1.0
-    found = detect(spark, W, seed)
+def consensus(spark: SparkSession, n: int, edges: tuple[np.ndarray, np.ndarray], tau: float, max_iterations: int, seed: int) -> Consensus:
+    """The consensus partition of n nodes (as many as the kernels take) over the unweighted union of edges (places of both ends)."""
+    W = np.zeros((n, n))
+    W[edges] = W[edges[::-1]] = 1.0
+    found, last, rounds = detect(spark, W, seed), W, 0
     for _ in range(max_iterations):
         share = consensus_matrix(list(found.values()))
         if len(np.unique(share)) < 3:
             break
         np.fill_diagonal(share, 0.0)
-        found = detect(spark, np.where(share > tau, share, 0.0), seed)
-    return dense(found["edge_betweenness"])
+        last, rounds = np.where(share > tau, share, 0.0), rounds + 1
+        found = detect(spark, last, seed)
+    return Consensus(dense(next(found[k] for k in DETECTORS if k in found)), {k: dense(v) for k, v in found.items()}, last, rounds)
 
 
 def enrichment(groups: list[np.ndarray], adjacency: list[np.ndarray], modules: np.ndarray):

@@ -113,3 +113,16 @@ def argmin_lambda(path: DataFrame) -> DataFrame:
 
 def weight_from_probability(prob: Column) -> Column:
     return ratio(F.lit(1.0), F.lit(1e-4) + prob)
+
+
+def selection_shares(chosen: DataFrame, fits: int) -> DataFrame:
+    """chosen: a row for each fit, group and pair that was kept. How often each pair was, and its share of all fits."""
+    n = chosen.groupBy("group", "feature_a", "feature_b").agg(F.count("*").alias("n_selected"))
+    return n.withColumn("prob", F.col("n_selected") / F.lit(float(fits)))
+
+
+def modules_of(partition: DataFrame) -> DataFrame:
+    """(feature_id, module) of a partition (feature_id, cluster): single features are independent."""
+    size = partition.groupBy("cluster").agg(F.count("*").alias("n"))
+    name = F.when(F.col("n") > 1, F.concat(F.lit("subnetwork"), F.col("cluster").cast("string"))).otherwise("independent")
+    return partition.join(size, "cluster").select("feature_id", name.alias("module"))

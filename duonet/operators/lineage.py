@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint under spark.checkpoint.dir; a folder of our own only where none is configured."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is configured: one under the warehouse, or a temporary one on a local
+    master, where driver and executors are the same process."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
-            where = tempfile.mkdtemp(prefix="duonet-") if sc.master.startswith("local[") or sc.master == "local" else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+            local = sc.master == "local" or sc.master.startswith("local[")
+            where = tempfile.mkdtemp(prefix="duonet-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

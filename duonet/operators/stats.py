@@ -26,10 +26,14 @@ def welch(df: DataFrame, reference: str, other: str) -> DataFrame:
 
 
 def node_list(df: DataFrame, reference: str, other: str, alpha: float = 0.05) -> DataFrame:
-    """Differential expression of logged values: other minus reference."""
+    """Differential expression of logged values: other minus reference.
+
+    A feature without a statistic (constant, or too few values) has null t, p, q and directions, is not counted as a test and
+    is not differential.
+    """
     s = welch(df, reference, other).withColumn("pvalue", student_p(F.col("t_statistic"), F.col("dof")))
     s = benjamini_hochberg(s)
-    up = lambda c: F.when(c > 0, "Up").otherwise("Down")
+    up = lambda c: F.when(c > 0, "Up").when(c.isNotNull(), "Down")
     change = F.col("mean2") - F.col("mean1")
     return s.select(
         "feature_id",

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from duonet.functions.stat import benjamini_hochberg, clean_names, student_p
 from duonet.operators import aggregate, edges, prep, stats, transform
+from duonet.operators.lineage import cut
 from duonet.plans import fixtures as fx
 from duonet.plans import kernel_queries
 
@@ -36,18 +37,24 @@ def logged_m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.log_transform(fx.matrix_m(spark, sf_dir))
 
 
-#: SQL pieces. P: two-sided Student p-value of columns t and dof; W: Welch statistics of lm.
-P_SQL = """least(1.0, list_sum([(CASE WHEN k = 0 OR k = 400 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(greatest(cos(lo + (hi - lo) * k / 400.0), 0.0), dof - 1.0) FOR k IN range(0, 401)]) * (hi - lo)
- / (list_sum([(CASE WHEN k = 0 OR k = 400 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(greatest(cos(top * k / 400.0), 0.0), dof - 1.0) FOR k IN range(0, 401)]) * top))"""
+#: SQL pieces. P: two-sided Student p-value of columns t and dof, by the power series of the incomplete beta function (the
+#: engine integrates instead); W: Welch statistics of lm.
+P_SQL = """CASE WHEN t = 0 THEN 1.0 WHEN t IS NOT NULL THEN greatest(0.0, least(1.0, 1.0 - exp(0.5 * ln(y) + dof / 2 * ln(1 - y) - ln(0.5) - lgamma(0.5) - lgamma(dof / 2) + lgamma(dof / 2 + 0.5))
+ * list_sum([exp(lgamma(dof / 2 + 0.5 + k) - lgamma(dof / 2 + 0.5) - lgamma(1.5 + k) + lgamma(1.5) + k * ln(y)) FOR k IN range(0, 600)]))) END"""
 
 
 def welch_sql(source: str, one: str, two: str) -> str:
-    return f"""w AS (SELECT feature_id, m1, m2, (m2 - m1) / sqrt(a + b) AS t, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS dof FROM (
+    return f"""w AS (SELECT feature_id, m1, m2, (m2 - m1) / nullif(sqrt(a + b), 0) AS t, (a + b) * (a + b) / nullif(a * a / (n1 - 1) + b * b / (n2 - 1), 0) AS dof FROM (
  SELECT feature_id, avg(value) FILTER ("group" = '{one}') AS m1, avg(value) FILTER ("group" = '{two}') AS m2, count(*) FILTER ("group" = '{one}') AS n1, count(*) FILTER ("group" = '{two}') AS n2,
  var_samp(value) FILTER ("group" = '{one}') / n1 AS a, var_samp(value) FILTER ("group" = '{two}') / n2 AS b FROM {source} GROUP BY feature_id)),
-p AS (SELECT *, {P_SQL} AS pv FROM (SELECT *, atan(abs(t) / sqrt(dof)) AS lo, least(3.141592653589793 / 2, lo + 12.0 / sqrt(dof)) AS hi, least(3.141592653589793 / 2, 12.0 / sqrt(dof)) AS top FROM w)),
-r AS (SELECT *, row_number() OVER (ORDER BY pv, feature_id) AS rk, count(*) OVER () AS n FROM p),
-q AS (SELECT *, least(1.0, min(pv * n / rk) OVER (ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS qv FROM r)"""
+{q_sql(f"SELECT *, {P_SQL} AS pv FROM (SELECT *, t * t / (dof + t * t) AS y FROM w)")}"""
+
+
+def q_sql(tests: str) -> str:
+    """Step-up adjusted qv of the tests' pv; null pv are no tests."""
+    return f"""p AS ({tests}),
+r AS (SELECT *, row_number() OVER (ORDER BY pv, feature_id) AS rk, count(*) OVER () AS n FROM p WHERE pv IS NOT NULL),
+q AS (SELECT p.*, CASE WHEN qr IS NOT NULL THEN least(1.0, qr) END AS qv FROM p LEFT JOIN (SELECT feature_id, min(pv * n / rk) OVER (ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS qr FROM r) USING (feature_id))"""
 
 
 NODES_SQL = f"""WITH {fx.LM_SQL}, {welch_sql('lm', 'F', 'O')},
@@ -70,6 +77,23 @@ def bh_adjust(spark, sf_dir):
     return benjamini_hochberg(w).select("feature_id", "pvalue", "qvalue")
 
 
+@query(f"WITH {fx.E_SQL}, {welch_sql('e', 'a', 'b')}, {q_sql("SELECT feature_id, CASE WHEN feature_id NOT LIKE '%5' THEN pv END AS pv FROM q").replace('p AS', 'p2 AS', 1).replace('FROM p ', 'FROM p2 ').replace('r AS', 'r2 AS', 1).replace('FROM r)', 'FROM r2)').replace('q AS', 'q2 AS', 1).replace('p.*', 'p2.*')} SELECT feature_id, round(pv, 6) AS pvalue, round(qv, 6) AS qvalue FROM q2")
+def bh_adjust_with_nulls(spark, sf_dir):
+    """Features without a p-value are no tests: they take no rank and do not count."""
+    w = stats.welch(fx.matrix_e(spark, sf_dir), "a", "b").withColumn("pvalue", F.when(~F.col("feature_id").endswith("5"), student_p(F.col("t_statistic"), F.col("dof"))))
+    return benjamini_hochberg(w).select("feature_id", "pvalue", "qvalue")
+
+
+CONSTANT_SQL = """ec AS (SELECT "group", sample_id, feature_id, CASE WHEN feature_id LIKE '%7' THEN 2.5 ELSE value END AS value FROM e)"""
+
+
+@query(f"WITH {fx.E_SQL}, {CONSTANT_SQL}, {welch_sql('ec', 'a', 'b')} SELECT feature_id, 'b / a' AS comparison, round(m2 - m1, 6) AS foldchange, CASE WHEN m2 > m1 THEN 'Up' ELSE 'Down' END AS fcdirection, round(t, 6) AS t_statistic, CASE WHEN t > 0 THEN 'Up' WHEN t IS NOT NULL THEN 'Down' END AS t_statistic_direction, round(pv, 6) AS pvalue, round(qv, 6) AS qvalue, coalesce(qv < 0.05, false) AS de_status FROM q")
+def de_node_list_constant(spark, sf_dir):
+    """Constant features have no statistic and are no tests."""
+    e = fx.matrix_e(spark, sf_dir)
+    return stats.node_list(e.withColumn("value", F.when(F.col("feature_id").endswith("7"), 2.5).otherwise(F.col("value"))), "a", "b")
+
+
 @query(f'WITH {fx.LM_SQL} SELECT "group", sample_id, feature_id, round(value, 6) AS value FROM lm')
 def log_transform(spark, sf_dir):
     return logged_m(spark, sf_dir)
@@ -438,11 +462,14 @@ def membership_right_join(spark, sf_dir):
     return groups.join(names, "feature_id", "right").select("feature_id", F.coalesce("feature_group", "feature_id").alias("feature_group"))
 
 
-@query("SELECT side, id FROM (SELECT 'only left' AS side, l_suppkey AS id FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) UNION SELECT 'only right', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem))")
+ALIGN_SQL = "l AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'), r AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0)"
+
+
+@query(f"WITH {ALIGN_SQL} SELECT 'only left' AS side, id FROM l WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT 'only right', id FROM r WHERE id NOT IN (SELECT id FROM l)")
 def alignment_check(spark, sf_dir):
-    """Ids that only one side has: empty when samples and metadata agree."""
-    a = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id")).distinct()
-    b = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).distinct()
+    """Ids that only one side has: here customers with urgent orders against customers with money."""
+    a = fx.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")).distinct()
+    b = fx.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     return a.join(b, "id", "left_anti").select(F.lit("only left").alias("side"), "id").unionByName(b.join(a, "id", "left_anti").select(F.lit("only right").alias("side"), "id"))
 
 
@@ -463,7 +490,11 @@ def connected_components(spark, sf_dir):
     return components(one.select(F.col("node").alias("a"), after.alias("b")).where("b is not null"))
 
 
-@query()
+@query(f"""WITH {fx.V_SQL}, x AS (SELECT *, CASE WHEN "group" = 'DM:case' THEN 1.0 ELSE 0.0 END AS c FROM v),
+b AS (SELECT feature_id, (covar_pop(value, age) * var_pop(c) - covar_pop(value, c) * covar_pop(age, c)) / (var_pop(age) * var_pop(c) - covar_pop(age, c) ** 2) AS b1,
+ (covar_pop(value, c) * var_pop(age) - covar_pop(value, age) * covar_pop(age, c)) / (var_pop(age) * var_pop(c) - covar_pop(age, c) ** 2) AS b2, avg(value) AS my, avg(age) AS m1, avg(c) AS m2 FROM x GROUP BY feature_id),
+res AS (SELECT event_id, feature_id, value - my - b1 * (age - m1) - b2 * (c - m2) AS res FROM x JOIN b USING (feature_id))
+SELECT event_id, feature_id, round(res + abs(min(res) OVER (PARTITION BY feature_id)) + 1, 6) AS adjusted FROM res""")
 def covariates_adjust_2(spark, sf_dir):
     v = fx.visits(spark, sf_dir).withColumn("case", (F.col("group") == "DM:case").cast("double"))
     return prep.covariates_adjust(v, ["age", "case"]).select("event_id", "feature_id", "adjusted")
@@ -482,5 +513,159 @@ def node_degrees(spark, sf_dir):
     return edges.degrees(correlation_edges(spark, sf_dir))
 
 
+@query(f"WITH {fx.V_SQL}, k AS (SELECT DISTINCT subject, CASE WHEN mx >= 220 AND mn < 0.5 THEN 'BOTH' WHEN mx >= 220 THEN 'DM:case' WHEN mn < 0.5 THEN 'DM:control' END AS label FROM (SELECT subject, max(value) AS mx, min(value) AS mn FROM v GROUP BY ALL)) SELECT subject, label FROM k WHERE label <> 'BOTH'")
+def recode_exclude(spark, sf_dir):
+    """Recoded subjects without those that hold both labels or none."""
+    v = fx.visits(spark, sf_dir).groupBy("subject").agg(F.max("value").alias("mx"), F.min("value").alias("mn"))
+    return v.select("subject", prep.recode(F.col("mx") >= 220, F.col("mn") < 0.5).alias("label")).where("label is not null and label <> 'BOTH'")
+
+
+#: The two features of the queries that have a closed form: summed quantity and price of each supplier, by line status.
+TWO_SQL = """t2 AS (SELECT l_linestatus AS "group", l_suppkey AS sample_id, sum(l_quantity)::DOUBLE AS q, sum(l_extendedprice * (1 - l_discount))::DOUBLE AS c FROM lineitem GROUP BY ALL)"""
+
+
+def two_features(spark, sf_dir):
+    s = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("group"), F.col("l_suppkey").alias("sample_id")).agg(F.sum("l_quantity").alias("quantity"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
+    return s.unpivot(["group", "sample_id"], ["quantity", "price"], "feature_id", "value")
+
+
+@query(f"""WITH {TWO_SQL}, e2 AS (SELECT 'all_data' AS scope, q, c FROM t2 UNION ALL SELECT "group", q, c FROM t2), r AS (SELECT scope, abs(corr(q, c)) AS r FROM e2 GROUP BY ALL)
+SELECT scope, round(1 - r, 6) AS min_eigen, round((1 + r) / (1 - r), 6) AS condition_num FROM r""")
+def diagnostics_two_features(spark, sf_dir):
+    """The eigenvalues of a 2 x 2 correlation matrix are 1 + r and 1 - r."""
+    return stats.diagnostics(two_features(spark, sf_dir))
+
+
+@query(f"""WITH {TWO_SQL}, r AS (SELECT "group", corr(q, c) AS r, count(*) AS n FROM t2 GROUP BY ALL), m AS (SELECT *, (n - 1.0) / n AS s, r * (n - 1.0) / n AS c, sqrt(ln(2) / n) AS lam FROM r)
+SELECT "group", 'price' AS feature_a, 'quantity' AS feature_b, round(sign(c) * greatest(abs(c) - lam, 0) / s, 6) AS w FROM m WHERE abs(c) > lam""")
+def network_two_features(spark, sf_dir):
+    """The graphical lasso of two features in closed form: the covariance between them is soft-thresholded."""
+    from duonet import networks as nw
+
+    scaled = transform.autoscale(two_features(spark, sf_dir))
+    m = nw.moments(scaled, ["F", "O"])
+    return nw.final_networks(spark, m, ["F", "O"], [nw.asymptotic_lambda(2, n) for n in m.n], None, 1e-6, tol=1e-10)
+
+
+@query(f"""WITH {TWO_SQL}, k AS (SELECT "group", covar_samp(q, c) AS s12, var_samp(q) AS s11, var_samp(c) AS s22, count(*) AS n FROM t2 GROUP BY ALL)
+SELECT round(sum(2 + ln(s11 * s22 - s12 * s12) + ln(n) * 2 / (2 * n)), 6) AS bic FROM k""")
+def bic_of_given_precision(spark, sf_dir):
+    """The score of the inverse covariances themselves: trace 2, the log determinant, and one edge a group."""
+    import numpy as np
+
+    from duonet import networks as nw
+    from duonet.kernels.glasso import information
+
+    m = nw.moments(two_features(spark, sf_dir), ["F", "O"])
+    bic, _ = information(m.covariance, m.n, [np.linalg.inv(s) for s in m.covariance], 1e-300)
+    return spark.createDataFrame([(bic,)], "bic double")
+
+
+@query(f"""WITH {fx.LM_SQL}, c AS ({_pairs_sql("lm", "", "corr(x.value, y.value) AS r")}), k AS (SELECT DISTINCT p_brand AS feature_id, (row_number() OVER (ORDER BY p_brand) - 1) // 2 AS class FROM (SELECT DISTINCT p_brand FROM part)),
+j AS (SELECT feature_a, feature_b, x.class AS class FROM c JOIN k x ON feature_a = x.feature_id JOIN k y ON feature_b = y.feature_id AND x.class = y.class GROUP BY ALL HAVING min(abs(r)) >= 0.05)
+SELECT k.feature_id, CASE WHEN j.class IS NULL THEN k.feature_id ELSE 'knowledge: ' || k.class || '-correlation: group1' END AS feature_group, j.class IS NOT NULL AS collapsed FROM k LEFT JOIN j USING (class)""")
+def hybrid_collapse_pairs(spark, sf_dir):
+    """Classes of two brands: complete linkage joins them where both groups' correlations reach the threshold."""
+    from pyspark.sql import Window
+
+    brands = fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("feature_id")).distinct()  # a few dozen
+    place = F.row_number().over(Window.orderBy("feature_id")) - 1
+    return aggregate.correlation_groups(logged_m(spark, sf_dir), 0.05, brands.select("feature_id", F.floor(place / 2).cast("string").alias("feature_group")))
+
+
+@query(f"""WITH {fx.LM_SQL}, sm AS (SELECT DISTINCT "group", sample_id FROM lm), g AS (SELECT *, unnest(range(0, 4)) AS rep FROM sm),
+h AS (SELECT rep, "group", sample_id, CASE WHEN row_number() OVER (PARTITION BY rep, "group" ORDER BY md5(rep || '~' || sample_id || '~3'), rep, sample_id) <= count(*) OVER (PARTITION BY rep, "group") // 2 THEN 1 ELSE 2 END AS half FROM g),
+x AS (SELECT rep, half, lm.* FROM lm JOIN h USING ("group", sample_id)),
+c AS (SELECT rep, half, "group", a.feature_id AS feature_a, b.feature_id AS feature_b, corr(a.value, b.value) AS r FROM x a JOIN x b USING (rep, half, "group", sample_id) WHERE a.feature_id < b.feature_id GROUP BY ALL)
+SELECT "group", feature_a, feature_b, count(*) AS n_selected, round(count(*) / 8.0, 6) AS prob FROM c WHERE abs(r) >= 0.1 GROUP BY ALL""")
+def selection_of_correlations(spark, sf_dir):
+    """Half splits, a choice of pairs in each (here by correlation), and the share of the halves that choose a pair."""
+    long = logged_m(spark, sf_dir)
+    plan = prep.half_split_plan(long.select("group", "sample_id").distinct(), 4, 3)
+    r = stats.correlations(long.join(plan, ["group", "sample_id"]).select("rep", "half", "group", "sample_id", "feature_id", "value"), ["rep", "half", "group"])
+    return edges.selection_shares(edges.threshold(r.withColumnRenamed("r", "w"), 0.1), 8)
+
+
+@query(f'WITH {fx.M_SQL}, n AS (SELECT DISTINCT feature_id FROM m), s AS (SELECT DISTINCT "group", sample_id FROM m) SELECT "group", \'s\' || sample_id AS sample_id, \'s\' || sample_id AS original_name, s_name, round(s_acctbal, 6) AS s_acctbal FROM s JOIN supplier ON sample_id = s_suppkey')
+def include_sample_metadata(spark, sf_dir):
+    """Supplier columns joined to the samples of an experiment, by id."""
+    meta = fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("sample_id"), "s_name", "s_acctbal")
+    return _experiment(spark, sf_dir).include_metadata(meta, "samples").meta_data("samples").select("group", "sample_id", "original_name", "s_name", "s_acctbal")
+
+
+@query("SELECT lower(replace(p_brand, '#', '_')) AS feature_id, p_brand AS original_name, count(*) AS n_parts FROM part GROUP BY ALL")
+def include_feature_metadata(spark, sf_dir):
+    meta = fx.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n_parts")).select(F.lower(F.regexp_replace("p_brand", "#", "_")).alias("feature_id"), "n_parts")
+    return _experiment(spark, sf_dir).include_metadata(meta, "features").meta_data("features").select("feature_id", "original_name", "n_parts")
+
+
+@query(f'WITH {fx.M_SQL} SELECT "group", \'s\' || sample_id AS sample_id, lower(replace(feature_id, \'#\', \'_\')) AS feature_id, round(sqrt(value), 6) AS value FROM m')
+def added_assay(spark, sf_dir):
+    """An assay of the caller's beside those of an experiment."""
+    e = _experiment(spark, sf_dir)
+    return e.add_expression_data(e.expression_data("input_data").withColumn("value", F.sqrt("value")), "roots").expression_data("roots")
+
+
+@query(f'WITH {fx.M_SQL}, a AS (SELECT unnest([\'input_data\', \'log_input_data\', \'log_scaled_data\']) AS assay) SELECT assay, "group", count(*) AS n_values, count(DISTINCT sample_id) AS n_samples, round(sum(CASE assay WHEN \'input_data\' THEN value WHEN \'log_input_data\' THEN ln(value) ELSE 0 END), 3) AS total FROM m, a GROUP BY ALL')
+def experiment_assays(spark, sf_dir):
+    """What a new experiment holds: raw, logged and scaled values of both groups."""
+    t = _experiment(spark, sf_dir).assays_table.groupBy("assay", "group").agg(F.count("*").alias("n_values"), F.countDistinct("sample_id").alias("n_samples"), F.sum("value").alias("total"))
+    return t.withColumn("total", F.round(F.when(F.abs("total") > 1e-6, F.col("total")).otherwise(0.0), 3))
+
+
+@query(f"WITH {ED_SQL} SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS fmt, \"group\", feature_a, feature_b, w FROM ed")
+def sinks_read_back(spark, sf_dir):
+    """An edge table written in every format and read again."""
+    import uuid
+
+    from duonet import sources
+    from duonet.operators.lineage import shared_folder
+
+    e = cut(correlation_edges(spark, sf_dir))
+    folder = f"{shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
+    parts = []
+    for fmt in ("parquet", "orc", "json", "csv"):
+        e.coalesce(1).write.option("header", True).format(fmt).save(f"{folder}/{fmt}")
+        parts.append(sources.read(spark, f"{folder}/{fmt}", fmt, None if fmt in ("parquet", "orc") else "`group` string, feature_a string, feature_b string, w double").select(F.lit(fmt).alias("fmt"), "group", "feature_a", "feature_b", "w"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"WITH {UNION_SQL} SELECT feature_a, feature_b, edge, round(pcor_0, 6) AS pcor_0, round(pcor_1, 6) AS pcor_1 FROM u")
+def network_files_read_back(spark, sf_dir):
+    """The edge list's single file, read again."""
+    import uuid
+
+    from duonet import sinks
+    from duonet.operators.lineage import shared_folder
+
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}/study_edgelist.csv"
+    sinks.write_single_csv(_union(spark, sf_dir), path)
+    return spark.read.schema("feature_a string, feature_b string, pcor_0 double, pcor_1 double, edge string").option("header", True).csv(path).select("feature_a", "feature_b", "edge", "pcor_0", "pcor_1")
+
+
+@query(f'WITH {fx.M_SQL}, p AS (SELECT count(DISTINCT feature_id) AS p FROM m) SELECT DISTINCT "group", p * (p - 1) // 2 AS n_pairs, 0::BIGINT AS n_violations FROM m, p')
+def network_optimality(spark, sf_dir):
+    """How many pairs of the estimated networks break the graphical lasso's optimality conditions: none may."""
+    from duonet import networks as nw
+
+    m = nw.moments(transform.autoscale(logged_m(spark, sf_dir)), ["F", "O"])
+    rows = [(g, *nw.violations(m.second[k], nw.asymptotic_lambda(len(m.features), m.n[k]))) for k, g in enumerate(("F", "O"))]
+    return spark.createDataFrame(rows, "`group` string, n_pairs long, n_violations long")
+
+
+@query(f"WITH {PARTS_SQL}, t AS (SELECT node AS feature_id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY node) AS k FROM parts WHERE algorithm = 'price') SELECT feature_id, CASE WHEN n > 1 THEN 'subnetwork' || cluster ELSE 'independent' END AS module FROM t JOIN (SELECT cluster, count(*) AS n FROM t GROUP BY ALL) USING (cluster)")
+def modules_of_partition(spark, sf_dir):
+    """A partition as modules: single nodes are independent."""
+    one = brand_partitions(spark, sf_dir).where("algorithm = 'price'").select(F.col("node").alias("feature_id"), "cluster")
+    return edges.modules_of(one)
+
+
+def _experiment(spark, sf_dir):
+    from duonet.model import Experiment
+
+    m = fx.matrix_m(spark, sf_dir).withColumn("sample_id", F.concat(F.lit("s"), F.col("sample_id").cast("string")))
+    return Experiment.from_long(m, "sample_id", "feature_id", "value", "group", levels=("F", "O"), project_name="brands")
+
+
 for _name, _fn in kernel_queries.QUERIES.items():
     QUERIES[_name] = _fn

@@ -22,15 +22,24 @@ def diagnostics(spark, sf_dir) -> DataFrame:
 
 
 def bic_path(spark, sf_dir) -> DataFrame:
-    return experiment(spark, sf_dir).tune_lambda(interval=0.01).bic_scores()
+    return experiment(spark, sf_dir).tune_lambda().bic_scores()
 
 
 def stability_probabilities(spark, sf_dir) -> DataFrame:
-    return experiment(spark, sf_dir).stability_selection(nreps=20, optimal_lambda=0.1).selection_probabilities()
+    return experiment(spark, sf_dir).tune_lambda().stability_selection().selection_probabilities()
 
 
 def partial_corr_network(spark, sf_dir) -> DataFrame:
-    return experiment(spark, sf_dir).estimate_networks(aprox=True).adjacency_matrix(weighted=True)
+    """Each group's lambda tuned by itself; the pairs' penalties follow from how often resampled fits select them."""
+    return experiment(spark, sf_dir).tune_lambda().stability_selection().estimate_networks().adjacency_matrix(weighted=True)
+
+
+def one_group_path(spark, sf_dir) -> DataFrame:
+    """Lambda tuned for a single cohort."""
+    from duonet.networks import tune_one_group
+
+    scaled = transform.autoscale(transform.log_transform(fx.matrix_m(spark, sf_dir))).where("group = 'F'")
+    return tune_one_group(scaled)[0]
 
 
 def correlation_collapse(spark, sf_dir) -> DataFrame:
@@ -51,4 +60,4 @@ def enrichment(spark, sf_dir) -> DataFrame:
     return experiment(spark, sf_dir).estimate_networks(aprox=True).cluster().enrich(min_size=2).enrichment_results()
 
 
-QUERIES = {f.__name__: f for f in (diagnostics, bic_path, stability_probabilities, partial_corr_network, correlation_collapse, hybrid_collapse, consensus_modules, enrichment)}
+QUERIES = {f.__name__: f for f in (diagnostics, bic_path, stability_probabilities, partial_corr_network, one_group_path, correlation_collapse, hybrid_collapse, consensus_modules, enrichment)}

@@ -118,9 +118,13 @@ def test_clustering_enrichment_export(clustered, tmp_path, experiment):
     by_rank = sorted(res, key=lambda r: int(r["subnetworks"][10:]))
     assert [r["netgsa_pfdr"] for r in by_rank] == sorted(r["netgsa_pfdr"] for r in res)
     assert {"mean1", "mean2", "meanchange", "mc_notes", "membership"} <= set(done.node_list().columns)
-    done.write_network_files(str(tmp_path))
+    done.write_network_files(str(tmp_path), "2024-05-06")
     spark = done.assays_table.sparkSession
-    assert spark.read.option("header", True).csv(f"{tmp_path}/study_nodelist").count() == 12
+    assert spark.read.option("header", True).csv(f"{tmp_path}/study_nodelist_2024-05-06.csv").count() == 12
+    assert (tmp_path / "study_edgelist_2024-05-06.csv").is_file()
+    found = done.consensus_clustering().groupBy("algorithm").count().collect()
+    assert {r["count"] for r in found} == {12} and "consensus" in {r["algorithm"] for r in found}
+    assert done.adjacency_graph("consensus").where("w <= 0").count() == 0
     nodes, links = done.plot_selection("group_networks", "case")
     assert nodes.count() <= 12 and {"color", "lty"} <= set(links.columns)
     assert len(done.layout()) == 12
