@@ -2,44 +2,65 @@
 
 A document takes its words plus one end token. Several sequence lengths are permitted, and all are used together: pieces
 come longest first, each goes to the open bin with the least room that holds it, and where none does, the bin size with
-the least expected cost per used token is opened (its padded length plus a fixed charge for a sequence, over the piece and
-what the shard's remaining short pieces can still fill). At the end every bin shrinks to the least permitted length that
-holds its contents. A document longer than the longest length is split into full sequences and a rest.
+the least cost per used token is opened. A sequence of c tokens costs ``c + charge + c * c / quadratic``: its padding counts,
+every sequence has a fixed charge, and attention grows with the square, so a long bin must earn its length by filling better
+than a short one. What a size would hold is found by a trial: the shard's remaining pieces, longest first, are put into it
+as far as they fit. At the end every bin shrinks to the least permitted length that holds its contents. A document longer
+than the longest length is split into full pieces and a rest.
 
 Pieces are dealt by a hash into shards of about the same, bounded number of pieces, and each shard is packed by itself: its
-unfilled last bins are few against its thousands of pieces, and no task's work grows with the input.
+unfilled last bins are few against its thousands of pieces, and no task's work grows with the input. A bin's name is its
+shard and its number there, so no two bins share one.
 
 Defined results: a null or empty text takes one end token. Every input row is placed whole; repeated rows are placed each.
-Ties in length go by id and piece, then by the order of rows. An empty table gives no rows. Only the named columns are read.
+Ties in length go by id, piece and a row number that only repeated or null ids have. An empty table gives no rows. Only the
+named columns are read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from duonet.llm._common import cut, map_rows, small, table, texts_of
 
 #: Permitted sequence lengths of the registered query.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-#: What opening a sequence costs besides its padded length, in tokens.
-SEQUENCE_COST = 16
+#: What a sequence costs besides its padded length: a fixed charge, and its squared length over this, in tokens.
+SEQUENCE_COST, QUADRATIC = 16, 32_768
 SHARD_PIECES = 20_000
 
 
-def pack(lengths: list[int], permitted: tuple[int, ...], sequence_cost: int = SEQUENCE_COST) -> tuple[list[int], list[int], list[int]]:
+def sequence_costs(permitted: tuple[int, ...], charge: int = SEQUENCE_COST, quadratic: float = QUADRATIC) -> dict[int, float]:
+    return {c: c + charge + c * c / quadratic for c in permitted}
+
+
+def trial_fill(ascending: list[int], below: int, room: int) -> int:
+    """How much of the room the pieces ascending[:below] fill, the longest that fits first."""
+    filled = 0
+    while room and below:
+        below = bisect_right(ascending, room, 0, below)
+        if not below:
+            break
+        below -= 1
+        filled += ascending[below]
+        room -= ascending[below]
+    return filled
+
+
+def pack(lengths: list[int], permitted: tuple[int, ...], charge: int = SEQUENCE_COST, quadratic: float = QUADRATIC) -> tuple[list[int], list[int], list[int]]:
     """lengths: descending, none over the longest permitted. Returns each piece's bin and offset, and each bin's length."""
-    order = np.array(lengths, np.int64)
-    shorter = np.concatenate([np.cumsum(order[::-1])[::-1], [0]])  # tokens in pieces from k on
-    ascending = order[::-1]
+    permitted = tuple(sorted(permitted))
+    costs = sequence_costs(permitted, charge, quadratic)
+    ascending = lengths[::-1]
     room: list[int] = []  # distinct rooms of open bins, ascending
     bins_with: dict[int, list[int]] = {}
     used: list[int] = []
-    size: list[int] = []
     where, offset = [], []
 
     def put(room_left: int, b: int) -> None:
@@ -49,14 +70,6 @@ def pack(lengths: list[int], permitted: tuple[int, ...], sequence_cost: int = SE
                 insort(room, room_left)
             bins_with[room_left].append(b)
 
-    def cheapest(k: int, length: int) -> int:
-        def cost(c: int) -> float:
-            fits_from = len(order) - int(np.searchsorted(ascending, c - length, side="right"))
-            fill = min(c - length, int(shorter[max(fits_from, k + 1)]))
-            return (c + sequence_cost) / (length + fill)
-
-        return min((c for c in permitted if c >= length), key=lambda c: (cost(c), c))
-
     for k, length in enumerate(lengths):
         i = bisect_left(room, length)
         if i < len(room):
@@ -68,43 +81,41 @@ def pack(lengths: list[int], permitted: tuple[int, ...], sequence_cost: int = SE
         else:
             b = len(used)
             used.append(0)
-            size.append(cheapest(k, length))
-            left = size[b]
+            behind = len(lengths) - 1 - k
+            left = min((c for c in permitted if c >= length), key=lambda c: (costs[c] / (length + trial_fill(ascending, behind, c - length)), c))
         where.append(b)
         offset.append(used[b])
         used[b] += length
         put(left - length, b)
-    down = [permitted[bisect_left(permitted, u)] for u in used]
-    return where, offset, down
+    return where, offset, [permitted[bisect_left(permitted, u)] for u in used]
 
 
-def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permitted: tuple[int, ...] = LENGTHS, sequence_cost: int = SEQUENCE_COST) -> DataFrame:
+def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permitted: tuple[int, ...] = LENGTHS, charge: int = SEQUENCE_COST, quadratic: float = QUADRATIC) -> DataFrame:
     """One row per piece: id, piece, start and length in its document (tokens), bin_id, capacity, bin_offset, bin_used."""
     permitted = tuple(sorted(set(permitted)))
     longest = permitted[-1]
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_kind = docs.schema[id_col].dataType
+    kind = lambda *fields: StructType([StructField("id", id_kind), *(StructField(f, LongType()) for f in fields)])
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = pa.array([len(t.split()) + 1 for t in texts_of(batch.column(1))], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), n], names=["id", "tokens"])
 
-    # rows whose id occurs again, or is null, are told apart by a number of their own, fixed at the checkpoint; others have 0
-    measured = cut(map_rows(docs.select(id_col, text_col), measure, f"id {id_type}, tokens long").withColumn("row", F.monotonically_increasing_id() + 1))
-    again = cut(measured.groupBy("id").count().where("count > 1").select(F.col("id").alias("again"), F.lit(True).alias("repeated")))
+    # rows whose id occurs again, or is null, are told apart by a number of their own, fixed at the checkpoint; others have 0,
+    # so that with unique ids the packing does not depend on how the rows are partitioned
+    measured = cut(map_rows(docs.select(id_col, text_col), measure, kind("tokens")).withColumn("row", F.monotonically_increasing_id() + 1))
+    again = cut(measured.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("again"), F.lit(True).alias("repeated")))
     measured = measured.join(small(again), F.col("id").eqNullSafe(F.col("again")), "left").select("id", "tokens", F.when(F.col("repeated"), F.col("row")).otherwise(F.lit(0)).alias("row"))
-    last = F.ceil(F.col("tokens") / F.lit(longest)) - 1
-    pieces = measured.select("id", "row", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    pieces_of = F.ceil(F.col("tokens") / F.lit(longest))
+    n_shards = max(1, -(-(measured.agg(F.sum(pieces_of)).first()[0] or 0) // SHARD_PIECES))
+    pieces = measured.select("id", "row", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), pieces_of - 1)).alias("piece"))
     pieces = pieces.select("id", "row", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest).cast("long"), F.col("tokens") - F.col("piece") * longest).alias("length"))
-    full = pieces.where(F.col("length") == longest)
-    n = pieces.where(F.col("length") < longest).count()
-    n_shards = max(1, -(-n // SHARD_PIECES))
-    # with the row's number, so that repeated rows do not pile up in one shard
-    shard = F.pmod(F.xxhash64(F.col("id").cast("string"), "row", "piece", "length"), F.lit(n_shards))
-    rest = pieces.where(F.col("length") < longest).withColumn("shard", shard)
+    # the hash holds the row's number and the piece's, so that neither repeated rows nor one long text pile up in a shard
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.col("id").cast("string"), "row", "piece", "length"), F.lit(n_shards)))
 
     def pack_shard(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
-        where, offset, down = pack(rows.column("length").to_pylist(), permitted, sequence_cost)
+        where, offset, down = pack(rows.column("length").to_pylist(), permitted, charge, quadratic)
         used = np.zeros(len(down), np.int64)
         np.add.at(used, where, rows.column("length").to_numpy())
         first = rows.column("shard")[0].as_py() << 32
@@ -112,11 +123,8 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         columns = [rows.column(c) for c in ("id", "piece", "start", "length")]
         return pa.table([*columns, pa.array(b + first), pa.array(np.array(down, np.int64)[b]), pa.array(np.array(offset, np.int64)), pa.array(used[b])], names=["id", "piece", "start", "length", "bin_id", "capacity", "bin_offset", "bin_used"])
 
-    packed = rest.groupBy("shard").applyInArrow(pack_shard, f"id {id_type}, piece long, start long, length long, bin_id long, capacity long, bin_offset long, bin_used long")
-    # a full piece is a sequence of its own; its bin is named by a negative hash of what it holds
-    alone = -F.abs(F.xxhash64(F.col("id").cast("string"), "row", "piece")) - 1
-    whole = full.select("id", "piece", "start", "length", alone.alias("bin_id"), F.lit(longest).cast("long").alias("capacity"), F.lit(0).cast("long").alias("bin_offset"), F.col("length").alias("bin_used"))
-    return packed.unionByName(whole).withColumnRenamed("id", id_col)
+    packed = dealt.groupBy("shard").applyInArrow(pack_shard, kind("piece", "start", "length", "bin_id", "capacity", "bin_offset", "bin_used"))
+    return packed.withColumnRenamed("id", id_col)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
