@@ -5,16 +5,17 @@ Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``, which is what ``b
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from duonet.operators.lineage import cut
 
-__all__ = ["GOLDEN", "ascii_lower", "buckets_for", "cut", "map_rows", "mix64", "small", "table", "texts_of", "word_hashes"]
+__all__ = ["GOLDEN", "ascii_lower", "buckets_for", "cut", "extended", "free_name", "join_split", "map_rows", "mix64", "small", "table", "texts_of", "word_hashes"]
 
 #: Odd multiplier of the finalising mix (2**64 / golden ratio).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -55,7 +56,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType) -> DataFrame:
     """Applies fn to each Arrow batch (Spark bounds batches by rows and by bytes)."""
 
     def run(batches):
@@ -75,6 +76,35 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
 
 
+#: Keys that join_split() broadcasts have more rows than LEAST_HOT and than this fraction of all rows, 1 / MOST_HOT.
+LEAST_HOT, MOST_HOT = 64, 50_000
+
+
+def join_split(rows: DataFrame, known: DataFrame, key: str, held: str, total: int) -> DataFrame:
+    """rows joined to known, which has one row a key and, in held, how many of the `total` rows have it.
+
+    Rows of hot keys stay where they are and meet a broadcast of at most MOST_HOT of known's rows; the others are shuffled. So
+    no task gathers the rows of a hot key, whatever their number. rows is read twice: cut it before.
+    """
+    hot = max(LEAST_HOT, total // MOST_HOT)
+    few = F.broadcast(known.where(F.col(held) > hot))
+    rest = rows.join(few.select(key), key, "left_anti").join(known.where(F.col(held) <= hot), key)
+    return rows.join(few, key).unionByName(rest)
+
+
+def extended(schema: StructType, **added: DataType) -> StructType:
+    """The schema with more columns; built from types, so any names and nested fields do."""
+    return StructType([*schema.fields, *(StructField(name, kind) for name, kind in added.items())])
+
+
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """The wanted name, with underscores behind it until no column has it (letters' case aside)."""
+    taken = {t.lower() for t in taken}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def buckets_for(total: float, each: float, least: int = 1) -> int:
     """A power of two so that each of so many buckets holds about `each` of `total`."""
     n = max(least, 1)

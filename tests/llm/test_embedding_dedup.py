@@ -5,7 +5,7 @@ from duonet.llm import embedding_dedup as e
 
 def brute(found, threshold):
     def unit(v):
-        if v is None or len(v) != 8 or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+        if v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             return None
         a = np.array(v, float)
         return a / np.linalg.norm(a)
@@ -21,7 +21,7 @@ def brute(found, threshold):
 
     for a in range(n):
         for b in range(a):
-            if u[a] is not None and u[b] is not None and u[a] @ u[b] >= threshold:
+            if u[a] is not None and u[b] is not None and len(u[a]) == len(u[b]) and u[a] @ u[b] >= threshold:
                 links[a] += 1
                 links[b] += 1
                 parent[max(root(a), root(b))] = min(root(a), root(b))
@@ -43,6 +43,7 @@ def test_links_match_brute_force(spark):
     found += [(len(found) + k, (np.array(hot) + rng.normal(size=8) * 0.05).tolist()) for k in range(60)]
     n = len(found)
     found += [(n, None), (n + 1, [0.0] * 8), (n + 2, [1.0] * 3), (n + 3, [None] * 8), (n + 4, [float("nan")] * 8), (n + 5, [float("inf")] * 8), (n + 6, [3.0 * x for x in hot])]
+    found += [(n + 10 + k, [1.0, 2.0, 3.0 + k / 50]) for k in range(6)] + [(n + 20, []), (n + 21, [1.0, 2.0]), (n + 22, [2.0, 4.0])]  # other lengths link among themselves
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in found], "vec_id long, embedding array<double>, node string, key int").repartition(3)
     old, e.BLOCK = e.BLOCK, 16  # several runs a bucket
     try:
@@ -68,3 +69,11 @@ def test_empty_and_repeated(spark):
     assert e.near_duplicates(spark.createDataFrame([], kind)).collect() == []
     twice = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None)], kind)
     assert sorted(tuple(r) for r in e.near_duplicates(twice).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
+def test_lengths_are_compared_apart(spark):
+    """Ties of lengths, and short vectors beside long ones: each is compared with its own length."""
+    kind = "vec_id long, embedding array<double>"
+    found = [(1, [1.0, 2.0]), (2, [1.0, 2.001]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.001]), (5, [1.0, 2.0, 0.0])]
+    out = e.near_duplicates(spark.createDataFrame(found, kind)).collect()
+    assert sorted(tuple(r) for r in out) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
