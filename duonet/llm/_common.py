@@ -15,7 +15,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from duonet.operators.lineage import cut
 
-__all__ = ["GOLDEN", "ascii_lower", "buckets_for", "cut", "extended", "free_name", "join_split", "map_rows", "mix64", "small", "table", "texts_of", "word_hashes"]
+__all__ = ["GOLDEN", "ascii_lower", "buckets_for", "cut", "extended", "free_name", "join_split", "map_rows", "mix64", "plain", "small", "table", "texts_of", "word_hashes"]
 
 #: Odd multiplier of the finalising mix (2**64 / golden ratio).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -56,15 +56,21 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """The columns under names of their places: Spark's Arrow functions look columns up by name and stumble over dots."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType) -> DataFrame:
-    """Applies fn to each Arrow batch (Spark bounds batches by rows and by bytes)."""
+    """Applies fn to each Arrow batch (Spark bounds batches by rows and by bytes). Columns can have any names."""
+    names = df.columns
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+            if batch.num_rows and (out := fn(batch.rename_columns(names))) is not None:
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    return plain(df).mapInArrow(run, schema)
 
 
 #: So many ids or signatures (a few MB) are broadcast at most.
