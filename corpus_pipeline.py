@@ -8,6 +8,11 @@ docs. All stages but the last return the columns of documents:
 3. n-gram Jaccard join (five words, 0.8): of each group of near copies the one with the least doc_id stays;
 4. substring dedup: words covered by a 35-word window that starts elsewhere too are cut, n_chars follows; no row goes;
 5. best-fit packing: one row per piece of a document with its sequence.
+
+Defined results: a null or empty text is scored like any other, then rejected by the word-count rule; other columns hold any
+values and pass unchanged. Of rows with the least id of their group and equal texts one stays; a null id comes last. Repeated
+rows are judged and packed each, where they stay. Empty tables give empty tables. Extra columns of documents, whatever their
+names, pass through the first four stages.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duonet.llm._common import cut
+from duonet.llm._common import cut, free_name
 from duonet.llm.ngram_join import keep_one_of_each
 from duonet.llm.packing import best_fit_packing
 from duonet.llm.quality_classifier import keep_by_quality
@@ -41,9 +46,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    cut_docs = remove_repeats(docs)
-    length = F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut_docs.withColumn("n_chars", length).select(docs.columns)
+    words, gone = free_name(docs.columns, "n_words"), free_name(docs.columns, "n_removed")
+    cut_docs = remove_repeats(docs, counts=(words, gone))
+    length = F.when(F.col(gone) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut_docs.withColumn("n_chars", length).drop(words, gone)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
