@@ -2,7 +2,8 @@
 
 Each rule is a regular expression over ``host + path``. From its pattern come the literal tokens that every match must
 hold as whole tokens; the token that is rarest over the table's own urls indexes the rule. A url's tokens fetch candidate
-rules, and only those run their expression. Rules without such a token are candidates for every url.
+rules, and only those run their expression. Rules without such a token are candidates for every url; none of the registered
+query's is one.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; it meets only rules that match the empty
 string. Host letters A-Z are lower-cased, nothing else is. Among matching rules the largest ``(priority, name)`` wins;
@@ -40,75 +41,99 @@ def domain_rule(action: str, rule: str) -> UrlRule:
     return UrlRule(rule, action, rf"\A(?:[^/]*\.)?{quoted}", 1000 + len(rule))
 
 
-def literal_tokens(pattern: str) -> list[str]:
-    r"""Whole lower-case tokens ``[a-z0-9]+`` that any match of the pattern must hold, as far as a simple reading shows.
+#: What a parsed pattern consists of: a literal character; a place that only stands between tokens (an anchor); a group of
+#: alternatives, each a list of such items; and anything else, which may match any text.
+ANCHOR, ANYTHING = "anchor", "anything"
 
-    Literal characters, escapes of punctuation, ``\A``, ``\z``, ``\b`` and ``^`` are understood; a group, class, dot or
-    quantifier breaks a token, and a ``|`` outside groups, an inline flag or a back reference gives up.
-    """
-    items: list[str] = ["?"]
-    i = 0
-    while i < len(pattern):
-        c = pattern[i]
+
+@dataclass(frozen=True)
+class Group:
+    alternatives: tuple[tuple, ...]
+    optional: bool
+
+
+def _parse(pattern: str, i: int = 0) -> tuple[tuple[tuple, ...], int]:
+    """The alternatives from place i up to the closing bracket or the end, and where that is."""
+    done: list[tuple] = []
+    items: list = []
+    while i < len(pattern) and pattern[i] != ")":
+        c, i = pattern[i], i + 1
+        if c == "|":
+            done.append(tuple(items))
+            items = []
+            continue
         if c == "\\":
-            nxt = pattern[i + 1 : i + 2]
-            if nxt and not nxt.isalnum():
-                items.append(nxt)
-            elif nxt in ("A", "z", "b"):
-                items.append("^")
-            elif nxt.isdigit() or nxt in ("Q", "k"):
-                return []
-            else:
-                items.append("?")
-            i += 2
+            c, i = pattern[i : i + 1], i + 1
+            if c.isdigit() or c in ("Q", "k"):
+                raise ValueError("back references and quoted parts are not read")
+            item = ANCHOR if c in ("A", "z", "b") else ANYTHING if c.isalnum() else c
         elif c == "[":
-            i += 1 + (pattern[i + 1 : i + 2] == "^")
+            i += pattern[i : i + 1] == "^"
             i += pattern[i : i + 1] == "]"
             while i < len(pattern) and pattern[i] != "]":
                 i += 1 + (pattern[i] == "\\")
-            i += 1
-            items.append("?")
+            i, item = i + 1, ANYTHING
         elif c == "(":
-            if re.match(r"\(\?[a-zA-Z]", pattern[i:]):
-                return []
-            depth = 0
-            while i < len(pattern):
-                if pattern[i] == "\\":
-                    i += 1
-                elif pattern[i] == "[":
-                    while i < len(pattern) and pattern[i] != "]":
-                        i += 1 + (pattern[i] == "\\")
-                elif pattern[i] == "(":
-                    depth += 1
-                elif pattern[i] == ")":
-                    depth -= 1
-                    if not depth:
-                        break
-                i += 1
-            i += 1
-            items.append("?")
-        elif c == "|":
-            return []
-        elif c in "*?{+":
-            items[-1] = "?"
-            i = pattern.find("}", i) + 1 if c == "{" and "}" in pattern[i:] else i + 1
-        elif c in ".$":
-            items.append("?" if c == "." else "^")
-            i += 1
-        elif c == "^":
-            items.append("^")
-            i += 1
+            named = re.match(r"\?(:|<[A-Za-z]\w*>)?", pattern[i:])
+            plain = named is None or named.group(1)
+            if re.match(r"\?[a-zA-Z]", pattern[i:]):
+                raise ValueError("inline flags are not read")
+            inside, i = _parse(pattern, i + (named.end() if named and named.group(1) else 0))
+            i, item = i + 1, Group(inside, False) if plain else ANYTHING
         else:
-            items.append(c)
-            i += 1
-    items.append("?")
+            item = ANCHOR if c in "^$" else ANYTHING if c == "." else c
+        times = re.match(r"(?:[*?+]|\{\d+(?:,\d*)?\})[?+]?", pattern[i:])
+        if times:
+            i += times.end()
+            least = 0 if times.group()[0] in "*?" else 1 if times.group()[0] == "+" else int(re.match(r"\{(\d+)", times.group()).group(1))
+            item = Group(item.alternatives, not least) if isinstance(item, Group) else item if item == ANCHOR else ANYTHING
+        elif isinstance(item, Group) and len(item.alternatives) == 1:
+            items += item.alternatives[0]
+            continue
+        items.append(item)
+    return (*done, tuple(items)), i
+
+
+def _in_token(item: object) -> bool:
+    return isinstance(item, str) and len(item) == 1 and item.isascii() and item.isalnum()
+
+
+def _bounded(items: Sequence, outside: bool) -> bool:
+    """Whether whatever the items match, read from their inner end, surely begins outside a token; outside: whether what lies
+    beyond them does."""
+    if not items:
+        return outside
+    item, beyond = items[0], items[1:]
+    if isinstance(item, Group):
+        ways = [_bounded(way, _bounded(beyond, outside)) for way in item.alternatives]
+        return all(ways) and (not item.optional or _bounded(beyond, outside))
+    return item == ANCHOR or (item != ANYTHING and not _in_token(item))
+
+
+def _mirrored(items: Sequence) -> tuple:
+    return tuple(Group(tuple(_mirrored(way) for way in x.alternatives), x.optional) if isinstance(x, Group) else x for x in reversed(items))
+
+
+def literal_tokens(pattern: str) -> list[str]:
+    r"""Whole lower-case tokens ``[a-z0-9]+`` that any match of the pattern must hold, as far as a simple reading shows.
+
+    A run of literal letters and digits is a whole token where an anchor, another character, or a group all of whose
+    alternatives end (or begin) with one stands on either side; so the label behind an optional ``(?:[^/]*\.)?`` counts, since
+    it follows either that group's dot or the anchor before. Alternatives of the whole pattern, back references and inline
+    flags give up; so does a pattern that has no such token.
+    """
+    try:
+        (items, *others), _ = _parse(pattern)
+    except ValueError:
+        return []
+    if others:
+        return []
     found, k = [], 0
-    plain = [len(x) == 1 and x.isascii() and x.isalnum() for x in items]
     while k < len(items):
         end = k
-        while plain[end]:
+        while end < len(items) and _in_token(items[end]):
             end += 1
-        if end > k and "?" not in (items[k - 1], items[end]):
+        if end > k and _bounded(_mirrored(items[:k]), False) and _bounded(items[end:], False):
             found.append("".join(items[k:end]).lower())
         k = end + 1
     return list(dict.fromkeys(found))
@@ -186,13 +211,10 @@ def _joined(pages: DataFrame, index: dict[str, list[UrlRule]], rest: list[UrlRul
 #: The rules of the registered query, in order.
 DOMAIN_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: What decides where no domain rule fits.
-PATTERN_RULES = (
-    UrlRule("casino", "block", r"\bcasino\b"),
-    UrlRule("porn", "block", r"\bporn\b"),
-    UrlRule("viagra", "block", r"\bviagra\b"),
-    UrlRule("archive", "block", r"\.(?:exe|zip|iso|apk)\z"),
-)
+#: What decides where no domain rule fits: words that stand alone in host or path, and the endings of archives and programs.
+BAD_WORDS = ("casino", "poker", "porn", "torrent", "viagra", "warez", "xxx")
+BAD_ENDINGS = ("apk", "exe", "iso", "msi", "rar", "zip")
+PATTERN_RULES = (*(UrlRule(w, "block", rf"\b{w}\b") for w in BAD_WORDS), *(UrlRule(f"archive_{x}", "block", rf"\.{x}\z") for x in BAD_ENDINGS))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,13 +225,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", F.when(named, F.col("rule")).alias("rule"), "verdict")
 
 
-OP1_SQL = r"""
+OP1_SQL = rf"""
 WITH a AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 r(rule, act) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
 s AS (SELECT rule, act, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM r),
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(act, length(rule)) AS act FROM b JOIN s ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT b.page_id, b.host, b.path, m.rule AS rule, coalesce(m.act, CASE WHEN regexp_matches(host || path, '\b(casino|porn|viagra)\b|\.(exe|zip|iso|apk)$') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT b.page_id, b.host, b.path, m.rule AS rule, coalesce(m.act, CASE WHEN regexp_matches(host || path, '\b({'|'.join(BAD_WORDS)})\b|\.({'|'.join(BAD_ENDINGS)})$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM b LEFT JOIN m USING (page_id)
 """
 

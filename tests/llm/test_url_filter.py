@@ -34,7 +34,7 @@ def test_domain_rules_match_brute_force(spark):
             if best:
                 assert (out[i]["rule"], out[i]["verdict"]) == (best[1], best[0]), x
             else:
-                hit = re.search(r"\b(casino|porn|viagra)\b|\.(exe|zip|iso|apk)\Z", host + path)
+                hit = re.search(rf"\b({'|'.join(u.BAD_WORDS)})\b|\.({'|'.join(u.BAD_ENDINGS)})\Z", host + path)
                 assert out[i]["verdict"] == ("block" if hit else "allow"), x
 
 
@@ -46,7 +46,14 @@ def test_empty_table_and_no_rules(spark):
 
 
 def test_literal_tokens():
-    assert u.literal_tokens(r"\A(?:[^/]*\.)?example\.com\/en\/") == ["com", "en"]
+    assert u.literal_tokens(r"\A(?:[^/]*\.)?example\.com\/en\/") == ["example", "com", "en"]
+    assert u.literal_tokens(u.domain_rule("allow", "com/").pattern) == ["com"]
+    assert u.literal_tokens(r"\A(?:x|[^/]*)?com\/") == []
+    assert u.literal_tokens(r"(?:a\.|b-)?com\/") == []
+    assert u.literal_tokens(r"/(?:a\.|b-)?com(?:\/|\z)") == ["com"]
+    assert u.literal_tokens(r"/(?:a\.|b)com\/") == []
+    assert u.literal_tokens(r"/(?:foo)/(?:ab)+/(bar/)?") == ["foo"]
+    assert u.literal_tokens(r"(?i)/x/") == u.literal_tokens(r"/(a)\1/x/") == []
     assert u.literal_tokens(r"\bcasino\b") == ["casino"]
     assert u.literal_tokens(r"casino") == []
     assert u.literal_tokens(r"/ab+c/") == []
@@ -55,8 +62,16 @@ def test_literal_tokens():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text("ab./-", max_size=12), st.sampled_from([r"/ab/", r"\bab\b", r"\Aab\.", r"-ab?/", r"(a|b)/ab\z", r"[ab]/a"]))
+@given(st.text("ab./-", max_size=12), st.sampled_from([r"/ab/", r"\bab\b", r"\Aab\.", r"-ab?/", r"(a|b)/ab\z", r"[ab]/a", r"\A(?:[^/]*\.)?ab/", r"/(?:a\.)*b(?:-|/a)", r"(?:a|b-)?ab\.", r"-(?:ab)b?\.", r"(?:/a|-)+b/"]))
 def test_tokens_are_necessary(text, pattern):
     if re.search(pattern.replace(r"\z", r"\Z"), text):
         tokens = set(re.split("[^a-z0-9]+", text.lower()))
         assert set(u.literal_tokens(pattern)) <= tokens
+
+
+def test_every_registered_rule_is_indexed(spark):
+    rules = [u.domain_rule(*x) for x in u.DOMAIN_RULES] + list(u.PATTERN_RULES)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(URLS)], "page_id long, url string")
+    host, path = u.host_and_path(u.F.col("url"))
+    index, rest = u.index_rules(df.select(host.alias("host"), path.alias("path")), rules, u.F.concat("host", "path"))
+    assert rest == [] and sum(map(len, index.values())) == len(rules)
