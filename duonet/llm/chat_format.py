@@ -2,7 +2,8 @@ r"""Chat formatting with a grammar round trip, in DataFrame functions only.
 
 A conversation is rendered as ``<|im_start|>role\ntext<|im_end|>\n`` per turn. A deterministic parser reads the rendered text
 back; where the recovered turns differ from the source (a text or role holds a control string, a role holds a line break),
-the conversation is rendered at the next escape level and read again, until both are identical:
+the conversation is rendered at the next escape level and read again, until both are identical (so content that holds a
+marker without being misread, such as an end marker in a role, stays as it is):
 
 * level 0: nothing is escaped;
 * level 1: in roles and texts ``\`` becomes ``\\`` and ``<|`` becomes ``<\|``, in roles a line break becomes ``\n``; the
@@ -141,7 +142,7 @@ WITH c AS (
 s AS (
   SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS spoken,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-    max(CASE WHEN contains(role || text, '<|im_start|>') OR contains(role || text, '<|im_end|>') OR contains(role, chr(10)) THEN 1 ELSE 0 END) AS level,
+    max(CASE WHEN contains(role, '<|im_start|>') OR contains(role, chr(10)) OR contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') THEN 1 ELSE 0 END) AS level,
     sum(length(role) + length(text) + 24) AS plain_chars,
     sum(24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) + 14 AS escaped_chars
   FROM c GROUP BY conv_id)
