@@ -4,7 +4,8 @@ Each text becomes a vector of statistics, transformed so that a class looks roug
 class into counts, sums and products inside Spark, so any number of labels costs the same on the driver; the class
 covariances shrink towards their diagonal and towards a small multiple of the identity, and the score of a document is the
 logistic function of the difference of the two log densities, each a Mahalanobis distance through the class's Cholesky
-factor plus its log determinant. The factors are computed once and travel with the scoring function. Class priors are equal
+factor plus its log determinant. The factors and their triangular inverses are computed once and travel with the scoring
+function, so that a score is a product. Class priors are equal
 by default, so that the share of labels does not move the threshold.
 
 Defined results: a null text counts as empty, and an empty text has a score like any other. Labels other than 0 and 1, and
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from duonet.llm._common import cut, map_rows, small, table, texts_of
+from duonet.llm._common import cut, extended, map_rows, small, table, texts_of
 from duonet.llm.quality_rules import Document, UPPER
 
 #: The statistics, in order.
@@ -55,15 +57,14 @@ def statistics(text: bytes) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with an added array column __stats."""
+    """docs: id and text. The rows with an added array column __stats."""
     at = docs.columns.index(text_col)
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         stats = pa.array([statistics(t) for t in texts_of(batch.column(at))], pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*batch.schema.names, "__stats"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_rows(docs, add, f"{schema}, __stats array<double>")
+    return map_rows(docs, add, extended(docs.schema, __stats=ArrayType(DoubleType())))
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,7 @@ class Discriminant:
     scale: np.ndarray
     means: np.ndarray
     factors: np.ndarray
+    inverses: np.ndarray
     log_dets: np.ndarray
     log_prior: float
 
@@ -82,8 +84,8 @@ class Discriminant:
             return np.full(len(stats), 0.5)
         x = np.clip((stats - self.center) / self.scale, -CLIP, CLIP)
         logs = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+        for mean, inverse, log_det in zip(self.means, self.inverses, self.log_dets, strict=True):
+            z = inverse @ (x - mean).T
             logs.append(-0.5 * (np.sum(z * z, axis=0) + log_det))
         return 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1] - self.log_prior, -500, 500)))
 
@@ -124,7 +126,7 @@ def fit(labelled: DataFrame, label: str, prior: float = 0.5) -> Discriminant:
     raw = moments(usable, F.col(label))
     n = sum(m[0] for m in raw.values())
     if not n:
-        return Discriminant(np.zeros(d), np.ones(d), np.zeros((0, d)), np.zeros((0, d, d)), np.zeros(0), 0.0)
+        return Discriminant(np.zeros(d), np.ones(d), np.zeros((0, d)), np.zeros((0, d, d)), np.zeros((0, d, d)), np.zeros(0), 0.0)
     center = sum(m[1] for m in raw.values()) / n
     scale = np.sqrt(np.maximum(np.diag(sum(m[2] for m in raw.values())) / n - center**2, 1e-12))
     scale = np.where(scale < 1e-6, 1.0, scale)
@@ -142,7 +144,7 @@ def fit(labelled: DataFrame, label: str, prior: float = 0.5) -> Discriminant:
         means.append(mean)
         factors.append(factor)
         dets.append(2 * np.sum(np.log(np.diag(factor))))
-    return Discriminant(center, scale, np.array(means), np.array(factors), np.array(dets), math.log(prior / (1 - prior)))
+    return Discriminant(center, scale, np.array(means), np.array(factors), np.array([np.tril(np.linalg.inv(f)) for f in factors]), np.array(dets), math.log(prior / (1 - prior)))
 
 
 def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
@@ -155,8 +157,7 @@ def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
         columns = [c for i, c in enumerate(batch.columns) if i != at]
         return pa.RecordBatch.from_arrays([*columns, pa.array(model.score(x))], names=[*(f.name for f in keep), "__score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return map_rows(rows, add, f"{schema}, __score double" if schema else "__score double")
+    return map_rows(rows, add, extended(StructType(keep), __score=DoubleType()))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -62,3 +62,22 @@ def test_hard_rows(spark):
     assert kept.columns == df.columns
     score = {r["doc_id"]: r["score"] for r in out}
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r[0] or -1 for r in rows() if score[r[0]] >= 0.5)
+
+
+def test_whole_query_on_held_out_labels(spark):
+    """On documents whose labels it did not learn from."""
+    out = q.op3_quality_classifier(spark, "/root/testdata/sf0.01").where("held_out").select("doc_id", "score", "predicted")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    found = out.join(marks, "doc_id").collect()
+    good = [r["score"] for r in found if r["quality"] == 1]
+    bad = [r["score"] for r in found if r["quality"] == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(good) > 30 and len(bad) > 10 and auc > 0.99
+    assert np.mean([r["predicted"] == r["quality"] for r in found]) > 0.97
+
+
+def test_clashing_and_nested_columns(spark):
+    df = spark.createDataFrame([(i, "plain words " * 20 if i % 2 else "### !! " * 30, "x", (i,), "y") for i in range(60)], "doc_id long, text string, `__stats` string, `a b.c` struct<`x y`:int>, `__id` string")
+    out = q.keep_by_quality(df, labels(spark, [(i, i % 2, 0, "x") for i in range(60)]))
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"], r["a b.c"]["x y"], r["__stats"]) for r in out.collect()) == [(i, i, "x") for i in range(60) if i % 2]
