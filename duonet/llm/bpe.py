@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by a global exchange of distinct words.
 
-Texts split into pre-tokens with their positions; each distinct pre-token of the corpus is encoded once, its ids join back
-to every place it holds, and documents are put together by position (see _chunks). Decoding joins the token-byte table: the
-vocabulary is a file of fixed size, so the table travels with the function that uses it.
+Texts split into pre-tokens with their positions, once; each distinct pre-token of the corpus is encoded once, its ids join
+back to every place it holds, and documents are put together by position (see _chunks). Decoding looks ids up in the
+token-byte table: the vocabulary is a file of fixed size, so the table travels with the function that uses it.
 
 Vocabulary files come by path; the driver reads the file and sends its content, so that executors need no copy.
 
@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from duonet.llm._chunks import bucket_rows, chunked, n_buckets_for, pack_numbers, steady, text_bytes, unpack_numbers, unpack_tokens
-from duonet.llm._common import map_rows, table
+from duonet.llm._chunks import by_token, n_buckets_for, own_row, pack_numbers, spread_chunks, text_bytes, unpack_numbers, unpack_tokens
+from duonet.llm._common import extended, free_name, map_rows, table
 
 _loaded: dict[int, object] = {}
 
@@ -35,13 +36,13 @@ def _ranks(vocabulary: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
 
 
-def _encoder(vocabulary: bytes, pattern: str):
-    """The merge engine for single pre-tokens, made once for each worker process."""
-    key = hash((vocabulary, pattern))
+def _encoder(vocabulary: bytes):
+    """The merge engine, made once for each worker process; its pattern takes a whole text, so that it merges a pre-token as it is."""
+    key = hash((vocabulary, "encoder"))
     if key not in _loaded:
         import tiktoken
 
-        _loaded[key] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=_ranks(vocabulary), special_tokens={})
+        _loaded[key] = tiktoken.Encoding("vocabulary", pat_str=r"(?s:.+)", mergeable_ranks=_ranks(vocabulary), special_tokens={})
     return _loaded[key]
 
 
@@ -68,9 +69,8 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def bpe_encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids; with decode also decoded, read back from the ids in the same task."""
     spark = docs.sparkSession
-    docs = steady(docs.select(id_col, text_col))
+    docs = docs.select(id_col, text_col)
     vocab = spark.sparkContext.broadcast(vocabulary)  # a vocabulary file, of fixed size
-    id_type = docs.schema[id_col].dataType.simpleString()
     compiled: list = []
 
     def tokenize(text: str) -> list[str]:
@@ -78,58 +78,56 @@ def bpe_encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "
             import regex
 
             compiled.append(regex.compile(pattern))
-        return compiled[0].findall(text)
+        return compiled[0].findall(text) if not compiled[0].groups else [m.group() for m in compiled[0].finditer(text)]
 
     n_buckets = n_buckets_for(text_bytes(docs, text_col))
+    answer = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("n_ids", pa.int64()), ("counts", pa.binary()), ("ids", pa.binary())])
 
     def encode_bucket(rows: pa.Table) -> pa.Table:
-        piece = _encoder(vocab.value, pattern)._encode_single_piece
-        done: dict[bytes, list[int]] = {}
-        out = {"__chunk": [], "digest": [], "bucket": [], "n": [], "counts": [], "n_ids": [], "ids": []}
-        for r in rows.to_pylist():
-            tokens = unpack_tokens(r["lengths"], r["data"], r["n"], r["size"])
-            found = []
-            for t in tokens:
-                ids = done.get(t)
-                if ids is None:
-                    ids = done[t] = piece(t)
-                found.append(ids)
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32)
-            for k, v in (("__chunk", r["__chunk"]), ("digest", r["digest"]), ("bucket", r["bucket"]), ("n", r["n"]), ("counts", pack_numbers(np.fromiter(map(len, found), np.uint32, len(found)))), ("n_ids", len(flat)), ("ids", pack_numbers(flat))):
-                out[k].append(v)
-        return pa.table(out, schema=pa.schema([("__chunk", pa.int64()), ("digest", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("n_ids", pa.int64()), ("ids", pa.binary())]))
-
-    def assemble(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        outs = []
-        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        for r in chunk.to_pylist():  # one row
-            if any(a["digest"] != r["digest"] for a in rows):
-                raise RuntimeError("the input gave other rows on a second reading; checkpoint it first")
-            counts = np.concatenate([unpack_numbers(a["counts"], a["n"]) for a in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-            flat = np.concatenate([unpack_numbers(a["ids"], a["n_ids"]) for a in rows]) if rows else np.zeros(0, np.uint32)
-            place = unpack_numbers(r["place"], r["n_distinct"])
-            starts, lengths = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-            starts[place] = np.cumsum(counts) - counts
-            lengths[place] = counts
-            numbers = unpack_numbers(r["numbers"], r["n"])
+        out: dict[str, list] = {name: [] for name in answer.names}
+        if rows.column("key")[0].as_py() < n_buckets:
+            encode = _encoder(vocab.value).encode_ordinary_batch
+            done: dict[bytes, list[int]] = {}
+            for r in rows.to_pylist():
+                tokens = unpack_tokens(r["lengths"], r["data"], r["n"], r["size"])
+                new = [t for t in tokens if t not in done]
+                done.update(zip(new, encode([t.decode() for t in new], num_threads=1), strict=True))
+                found = [done[t] for t in tokens]
+                flat = np.fromiter((i for ids in found for i in ids), np.uint32)
+                counts = np.fromiter(map(len, found), np.uint32, len(found))
+                for k, v in (("key", n_buckets + r["chunk"]), ("digest", r["digest"]), ("bucket", r["key"]), ("n", r["n"]), ("n_ids", len(flat)), ("counts", pack_numbers(counts)), ("ids", pack_numbers(flat))):
+                    out[k].append(v)
+        return pa.table(out, schema=answer)
+
+    id_kind = docs.schema[id_col].dataType
+    schema = StructType([StructField("id", id_kind), StructField("n_tokens", LongType()), StructField("ids", BinaryType()), *([StructField("decoded", BinaryType())] if decode else [])])
+
+    def assemble(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        row, found = own_row(rows, n_buckets), answers.to_pylist()
+        id_type = rows.schema.field("ids").type.value_type
+        ids, n_tokens = [], []
+        if row:
+            lengths = by_token(found, row, lambda a: unpack_numbers(a["counts"], a["n"]))
+            ordered = sorted(found, key=lambda a: a["bucket"])
+            flat = np.concatenate([unpack_numbers(a["ids"], a["n_ids"]) for a in ordered]) if ordered else np.zeros(0, np.uint32)
+            place = unpack_numbers(row["place"], row["n_distinct"])
+            starts = np.zeros(len(place), np.int64)
+            starts[place] = np.cumsum(lengths[place]) - lengths[place]
+            numbers = unpack_numbers(row["numbers"], row["n"])
             at = 0
-            n_tokens, ids = [], []
-            for c in r["counts"]:
+            for c in row["counts"]:
                 own = numbers[at : at + c]
                 at += c
                 got = flat[_spread(starts[own], lengths[own])] if c else flat[:0]
                 n_tokens.append(len(got))
                 ids.append(got.astype("<u4").tobytes())
-            made = [pa.array(r["ids"], chunk.schema.field("ids").type.value_type), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())]
-            made += [pa.array([_bytes_of(blob, vocab.value) for blob in ids], pa.binary())] if decode else []
-            outs.append(pa.table(made, names=[id_col, "n_tokens", "ids", "decoded"][: len(made)]))
-        return pa.concat_tables(outs)
+        made = [pa.array(row["ids"] if row else [], id_type), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())]
+        made += [pa.array([_bytes_of(blob, vocab.value) for blob in ids], pa.binary())] if decode else []
+        return pa.table(made, names=schema.names)
 
-    tokens = bucket_rows(chunked(docs, tokenize, False, n_buckets, only="tokens"))
-    places = chunked(docs, tokenize, False, n_buckets, only="places").select("__chunk", "digest", "ids", "counts", "n", "numbers", "place", "n_distinct")
-    answers = tokens.groupBy("bucket").applyInArrow(encode_bucket, "__chunk long, digest long, bucket int, n long, counts binary, n_ids long, ids binary")
-    schema = f"`{id_col}` {id_type}, n_tokens long, ids binary" + ", decoded binary" * decode
-    return places.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(assemble, schema)
+    spread = spread_chunks(docs, tokenize, False, n_buckets)
+    answers = spread.groupBy("key").applyInArrow(encode_bucket, "key long, digest long, bucket long, n long, n_ids long, counts binary, ids binary")
+    return spread.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(assemble, schema).withColumnRenamed("id", id_col)
 
 
 def _bytes_of(ids: bytes, vocabulary: bytes) -> bytes:
@@ -138,17 +136,21 @@ def _bytes_of(ids: bytes, vocabulary: bytes) -> bytes:
     return data[_spread(starts[numbers], lengths[numbers])].tobytes() if len(numbers) else b""
 
 
-def bpe_decode(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> DataFrame:
-    """The rows with an added binary column decoded."""
+def bpe_decode(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """The rows, all columns unchanged, with an added binary column of the decoded bytes.
+
+    It is named decoded_col, with underscores behind it where a column has that name. Null ids decode to no bytes, an id that
+    the vocabulary lacks raises, repeated rows are decoded each, an empty table gives none.
+    """
     vocab = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     at = encoded.columns.index(ids_col)
+    added = free_name(encoded.columns, decoded_col)
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [_bytes_of(blob or b"", vocab.value) for blob in batch.column(at).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return map_rows(encoded, decode, f"{schema}, decoded binary")
+    return map_rows(encoded, decode, extended(encoded.schema, **{added: BinaryType()}))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:

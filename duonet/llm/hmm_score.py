@@ -1,29 +1,32 @@
 r"""Hidden Markov language model: Baum-Welch counts from all partitions train the states, scaled forward recursion scores.
 
 Tokens are the words of the text with A-Z lower-cased, then one end token. The model is a hidden Markov chain whose states
-emit word classes, and a class emits its words by their share in it, whatever the state:
+emit symbols. A frequent word has a symbol of its own (nearly: words share one where their hashes meet), a rare or unknown
+word the symbol of its class, which comes from its first two and last three bytes. A symbol of several words emits them by
+their share in it, whatever the state:
 
-    P(text) = sum over state paths of prod P(state | before) P(class | state), times prod P(word | class)
+    P(text) = sum over state paths of prod P(state | before) P(symbol | state), times prod P(word | symbol)
 
-A word's class comes from its first two and last three bytes, hashed to a fixed number of classes, so short words have a class
-of their own and the state tables have a fixed size at any vocabulary; the word counts below the classes cover the whole
-corpus. Within a class of n tokens and v distinct words, a known word has c / (n + v), and v / (n + v) is left for words that
-training never saw (together one symbol of the class), so the model is a proper distribution over texts of known words and
-one unknown word per class.
+What is learned grows with the corpus: all words are counted, and OWN * sqrt(V) of V distinct training words have symbols of
+their own, the most frequent ones; classes are as many as a quarter of those. So the states' tables grow with the square
+root of the vocabulary (about 40 MB at a thousand million words). Within a class of n tokens and v distinct words, a known word
+has c / (n + v), and v / (n + v) is left for words that training never saw (together one word of the class); a frequent
+word's symbol leaves nothing. So the model is a proper distribution over texts of known words and one unknown word per class.
 
 Training: one pass of the corpus numbers the tokens of bounded chunks (see _chunks) and counts every distinct word once for
-each chunk; each Baum-Welch round reads the numbered chunks, adds up expected counts inside each task and sums them in Spark.
-What returns to the driver is a table of fixed size (classes x states). For training, long documents are cut into runs of
-SEGMENT tokens, each run's first state from a distribution of its own; all tokens of training documents take part. Scoring
-is exact over whole documents.
+each chunk; the counts, joined back, say each token's symbol, and the numbered chunks are written once with them. Each
+Baum-Welch round reads these, adds up expected counts inside each task and sums them in Spark. For training, documents of
+more than SEGMENT tokens are cut into runs, each later run's first state from a distribution of its own; all tokens of
+training documents take part. Scoring is exact over whole documents.
 
 Defined results: a null or empty text is the end token alone. Without training documents all counts are zero and the model is
-uniform over classes. Every input row gives one row, repeated rows included; an empty table gives none. A null id is not
+uniform over symbols. Every input row gives one row, repeated rows included; an empty table gives none. A null id is not
 held out. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -31,24 +34,65 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from duonet.llm._chunks import bucket_rows, chunked, n_buckets_for, pack_numbers, text_bytes, unpack_numbers, unpack_tokens
-from duonet.llm._common import cut, table
+from duonet.llm._chunks import by_token, n_buckets_for, own_row, pack_long, pack_numbers, spread_chunks, text_bytes, unpack_long, unpack_numbers, unpack_tokens
+from duonet.llm._common import cut, map_rows, table
 
-STATES, CLASSES, ROUNDS, SEGMENT, SEED = 8, 1 << 14, 6, 256, 7
-END = CLASSES  # the end token's class
-#: Weight of the classes' overall shares in each state's table.
-PRIOR = 20.0
+STATES, ROUNDS, SEGMENT, SEED = 8, 6, 2048, 7
+#: Words with symbols of their own, for each unit of the square root of the vocabulary; they occur LEAST_OWN times at least.
+OWN, LEAST_OWN = 8, 4
+#: Weight of the symbols' overall shares in each state's table.
+PRIOR = 50.0
 
 
 def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes.lower() and bytes.split() know ASCII only
 
 
-def classes_of(words: list[bytes]) -> np.ndarray:
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """Two 32-bit hashes of each word, all first ones first: of its first two and last three bytes, and of the whole word."""
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter((xxh3_64_intdigest(w[:2] + b"|" + w[-3:]) for w in words), np.uint64, len(words)).astype(np.int64) % CLASSES
+    ends = np.fromiter((xxh3_64_intdigest(w[:2] + b"|" + w[-3:]) for w in words), np.uint64, len(words))
+    whole = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    return (np.concatenate([ends, whole]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Symbols:
+    """Which symbol a word has: slots for the words that occur `least` times, then classes for the others, then the end."""
+
+    least: int
+    slots: int
+    classes: int
+
+    @property
+    def end(self) -> int:
+        return self.slots + self.classes
+
+    def of(self, ends: np.ndarray, whole: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts >= self.least, whole % self.slots, self.slots + ends % self.classes)
+
+
+def choose_symbols(histogram: dict[int, int]) -> Symbols:
+    """histogram: how many words have so many occurrences (the lower ends of count_bin())."""
+    wanted = OWN * math.sqrt(sum(histogram.values()))
+    slots = 1 << max(10, math.ceil(math.log2(max(2 * wanted, 1))))
+    least, held = 1 << 62, 0
+    for count in sorted((c for c in histogram if c >= LEAST_OWN), reverse=True):
+        held += histogram[count]
+        if held > wanted:
+            break
+        least = count
+    return Symbols(least, slots, slots // 4)
+
+
+def count_bin(counts: np.ndarray) -> np.ndarray:
+    """The lower end of each count's bin: exact below 64, then eight bins for each doubling."""
+    low = np.maximum(counts, 1)
+    step = 1 << np.maximum(np.floor(np.log2(low)).astype(np.int64) - 3, 0)
+    return np.where(counts < 64, counts, low // step * step)
 
 
 def is_held_out(doc_id: object) -> bool:
@@ -144,12 +188,12 @@ def improve(chain: Chain, shares: np.ndarray, first: np.ndarray, again: np.ndarr
     return Chain(share(first), share(again), move, (emit + PRIOR * shares[:, None]) / (emit.sum(0) + PRIOR))
 
 
-def _sequences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class numbers of the documents of a chunk one after another, each with its end; starts and lengths."""
-    words = unpack_numbers(row["labels"], row["n_distinct"]).astype(np.int64)[unpack_numbers(row["numbers"], row["n"])]
+def _sequences(row: dict, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the documents of a chunk one after another, each with its end; starts and lengths."""
+    words = unpack_numbers(row["symbols"], row["n_distinct"]).astype(np.int64)[unpack_numbers(row["numbers"], row["n"])]
     counts = np.array(row["counts"], np.int64)
     ends = np.cumsum(counts + 1) - 1
-    values = np.full(len(words) + len(counts), END, np.int64)
+    values = np.full(len(words) + len(counts), end, np.int64)
     inner = np.ones(len(values), bool)
     inner[ends] = False
     values[inner] = words
@@ -159,15 +203,15 @@ def _sequences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _rounds(chunks: DataFrame, chain: Chain, shares: np.ndarray, rounds: int) -> Chain:
     spark = chunks.sparkSession
     k, size = len(chain.first), len(chain.emit)
-    rows = chunks.select("counts", "n", "numbers", "n_distinct", "labels", "flags")
+    rows = chunks.select("counts", "n", "numbers", "n_distinct", "symbols", "flags")
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(chain)  # classes x states numbers, whatever the corpus
+        shared = spark.sparkContext.broadcast(chain)  # symbols x states numbers
 
         def count(batches, shared=shared):
             total = np.zeros((size + k + 2, k))
             for batch in batches:
                 for row in batch.to_pylist():
-                    values, starts, lengths = _sequences(row)
+                    values, starts, lengths = _sequences(row, size - 1)
                     own = np.flatnonzero(np.array(row["flags"], bool))
                     if not len(own):
                         continue
@@ -176,14 +220,17 @@ def _rounds(chunks: DataFrame, chain: Chain, shares: np.ndarray, rounds: int) ->
                     begin = np.repeat(starts[own], runs) + nth * SEGMENT
                     length = np.minimum(SEGMENT, np.repeat(starts[own] + lengths[own], runs) - begin)
                     first, again, move, emit, _ = expected_counts(shared.value, values, begin, length, nth == 0)
-                    total += np.concatenate([emit, move, [first], [again]])
+                    total[:size] += emit
+                    total[size:] += np.concatenate([move, [first], [again]])
             at = np.flatnonzero(total.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, s]) for s in range(k))], names=["at", *(f"s{s}" for s in range(k))])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, s].astype(np.float32)) for s in range(k))], names=["at", *(f"s{s}" for s in range(k))])
 
-        parts = rows.mapInArrow(count, "at int, " + ", ".join(f"s{s} double" for s in range(k)))
-        sums = parts.groupBy("at").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toPandas()  # at most classes + states + 3 rows
+        parts = rows.mapInArrow(count, "at int, " + ", ".join(f"s{s} float" for s in range(k)))
+        sums = parts.groupBy("at").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()  # at most symbols + states + 2 rows
         total = np.zeros((size + k + 2, k))
-        total[sums["at"].to_numpy()] = sums[[f"s{s}" for s in range(k)]].to_numpy()
+        at = sums.column("at").to_numpy()
+        for s in range(k):
+            total[at, s] = sums.column(f"s{s}").to_numpy()
         chain = improve(chain, shares, total[size + k], total[size + k + 1], total[size : size + k], total[:size])
         shared.unpersist()
     return chain
@@ -193,86 +240,105 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    chunks = chunked(docs, tokens_of, True, n_buckets_for(text_bytes(docs, text_col)), lambda ids: [not held_out(i) for i in ids.to_pylist()], classes_of)
+    id_kind = docs.schema[id_col].dataType
+    n_buckets = n_buckets_for(text_bytes(docs, text_col))
+    spread = spread_chunks(docs, tokens_of, True, n_buckets, lambda ids: [not held_out(i) for i in ids.to_pylist()], word_keys)
+    answer = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("known", pa.binary()), ("keys", pa.binary())])
 
     def count_bucket(rows: pa.Table) -> pa.Table:
-        """Each distinct word's training count, to every chunk that has it; and, under chunk -1, sums by class."""
-        packed = rows.to_pylist()
-        held = [(r["__chunk"], unpack_tokens(r["lengths"], r["data"], r["n"], r["size"]), unpack_numbers(r["used"], r["n"])) for r in packed]
-        total: dict[bytes, int] = {}
-        for _, tokens, used in held:
-            for t, c in zip(tokens, used.tolist(), strict=True):
-                if c:
-                    total[t] = total.get(t, 0) + c
-        out = {"__chunk": [], "bucket": [], "n": [], "known": [], "by_class": []}
-        bucket = packed[0]["bucket"]
-        words = list(total)
-        kinds = classes_of(words)
-        tokens_in = np.bincount(kinds, weights=np.fromiter(total.values(), np.float64, len(words)), minlength=CLASSES).astype(np.int64)
-        words_in = np.bincount(kinds, minlength=CLASSES)
-        some = np.flatnonzero(words_in)
-        for chunk, tokens, _ in held:
-            known = np.fromiter((total.get(t, 0) for t in tokens), np.int64, len(tokens))
-            for name, v in (("__chunk", chunk), ("bucket", bucket), ("n", len(tokens)), ("known", _pack_long(known)), ("by_class", None)):
+        """Each distinct word's training count, to every chunk that has it; and, under key -1, all words' counts and keys."""
+        out: dict[str, list] = {name: [] for name in answer.names}
+
+        def put(*values) -> None:
+            for name, v in zip(answer.names, values, strict=True):
                 out[name].append(v)
-        sums = [{"kind": int(s), "tokens": int(tokens_in[s]), "words": int(words_in[s])} for s in some]
-        for name, v in (("__chunk", -1), ("bucket", bucket), ("n", 0), ("known", b""), ("by_class", sums)):
-            out[name].append(v)
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64())]))
-        return pa.table(out, schema=pa.schema([("__chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("known", pa.binary()), ("by_class", kind)]))
-
-    answers = cut(bucket_rows(chunks).groupBy("bucket").applyInArrow(count_bucket, "__chunk long, bucket int, n long, known binary, by_class array<struct<kind:int,tokens:long,words:long>>"))
-    sums = answers.where("__chunk = -1").select(F.explode("by_class").alias("c")).groupBy("c.kind").agg(F.sum("c.tokens").alias("tokens"), F.sum("c.words").alias("words")).collect()  # at most one row for each class
-    tokens_in, words_in = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in sums:
-        tokens_in[r["kind"]], words_in[r["kind"]] = r["tokens"], r["words"]
+
+        bucket = rows.column("key")[0].as_py()
+        if bucket < n_buckets:
+            held = [(r["chunk"], r["digest"], unpack_tokens(r["lengths"], r["data"], r["n"], r["size"]), unpack_numbers(r["used"], r["n"])) for r in rows.to_pylist()]
+            total: dict[bytes, int] = {}
+            for _, _, tokens, used in held:
+                for t, c in zip(tokens, used.tolist(), strict=True):
+                    if c:
+                        total[t] = total.get(t, 0) + c
+            for chunk, digest, tokens, _ in held:
+                put(n_buckets + chunk, digest, bucket, len(tokens), pack_long(np.fromiter((total.get(t, 0) for t in tokens), np.int64, len(tokens))), b"")
+            put(-1, 0, bucket, len(total), pack_long(np.fromiter(total.values(), np.int64, len(total))), pack_numbers(word_keys(list(total))))
+        return pa.table(out, schema=answer)
+
+    answers = cut(spread.groupBy("key").applyInArrow(count_bucket, "key long, digest long, bucket long, n long, known binary, keys binary"))
+    vocabulary = answers.where("key = -1").select("n", "known", "keys")
+
+    def bins(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                low, n = np.unique(count_bin(unpack_long(r["known"], r["n"])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(n, pa.int64())], names=["low", "n"])
+
+    histogram = {r["low"]: r["n"] for r in vocabulary.mapInArrow(bins, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).collect()}  # eight rows for each doubling
+    symbols = choose_symbols(histogram)
+    end = symbols.end
+
+    def by_symbol(batches):
+        total = np.zeros((end, 2), np.int64)
+        for batch in batches:
+            for r in batch.to_pylist():
+                counts, keys = unpack_long(r["known"], r["n"]), unpack_numbers(r["keys"], 2 * r["n"]).astype(np.int64)
+                which = symbols.of(keys[: r["n"]], keys[r["n"] :], counts)
+                total[:, 0] += np.bincount(which, weights=counts, minlength=end).astype(np.int64)
+                total[:, 1] += np.bincount(which, minlength=end)
+        at = np.flatnonzero(total[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at, 0]), pa.array(total[at, 1])], names=["at", "tokens", "words"])
+
+    sums = vocabulary.mapInArrow(by_symbol, "at int, tokens long, words long").groupBy("at").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()  # at most one row a symbol
+    tokens_in, words_in = np.zeros(end + 1), np.zeros(end + 1)
+    at = sums.column("at").to_numpy()
+    tokens_in[at], words_in[at] = sums.column("tokens").to_numpy(), sums.column("words").to_numpy()
+
+    ready_schema = StructType([*(spread.schema[c] for c in ("ids", "flags", "counts", "n", "numbers", "n_distinct")), *(StructField(c, spread.schema["numbers"].dataType) for c in ("symbols", "known"))])
+
+    def ready(rows: pa.Table, found: pa.Table) -> pa.Table:
+        row = own_row(rows, n_buckets)
+        made = []
+        if row:
+            known = by_token(found.to_pylist(), row, lambda a: unpack_long(a["known"], a["n"]))
+            keys = unpack_numbers(row["labels"], 2 * row["n_distinct"]).astype(np.int64)
+            which = symbols.of(keys[: row["n_distinct"]], keys[row["n_distinct"] :], known)
+            made = [{**{c: row[c] for c in ("ids", "flags", "counts", "n", "numbers", "n_distinct")}, "symbols": pack_numbers(which), "known": pack_long(known)}]
+        kinds = [rows.schema.field(c).type for c in ready_schema.names[:-2]] + [pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[c] for r in made], t) for c, t in zip(ready_schema.names, kinds, strict=True)], names=ready_schema.names)
+
+    chunks = cut(spread.groupBy("key").cogroup(answers.where("key >= 0").groupBy("key")).applyInArrow(ready, ready_schema))
     ends = chunks.select(F.size(F.filter("flags", lambda x: x)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    tokens_in[END], words_in[END] = ends, int(ends > 0)
+    tokens_in[end], words_in[end] = ends, int(ends > 0)
     n, v = int(tokens_in.sum()), int(words_in.sum())
     shares = (tokens_in + 1) / (n + len(tokens_in))
     chain = _rounds(chunks, start_chain(shares, states), shares, rounds if n else 0)
-    model = spark.sparkContext.broadcast((chain, tokens_in, words_in))  # of fixed size
+    model = spark.sparkContext.broadcast((chain, tokens_in, words_in))  # symbols x states numbers
+    schema = StructType([StructField("id", id_kind), StructField("held_out", BooleanType()), *(StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(StructField(c, DoubleType()) for c in ("base_score", "score"))])
 
-    def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+    def score(batch: pa.RecordBatch) -> pa.Table:
         chain, tokens_in, words_in = model.value
-        rows = sorted(found.to_pylist(), key=lambda r: r["bucket"])
         tables = []
-        for r in chunk.to_pylist():  # one row
-            place = unpack_numbers(r["place"], r["n_distinct"])
-            known = np.zeros(len(place), np.int64)
-            known[place] = np.concatenate([_unpack_long(a["known"], a["n"]) for a in rows]) if rows else []
+        for r in batch.to_pylist():
+            known = unpack_long(r["known"], r["n_distinct"])
             numbers = unpack_numbers(r["numbers"], r["n"])
             counts = np.array(r["counts"], np.int64)
             doc = np.repeat(np.arange(len(counts)), counts)
-            kinds = unpack_numbers(r["labels"], r["n_distinct"]).astype(np.int64)
+            kinds = unpack_numbers(r["symbols"], r["n_distinct"]).astype(np.int64)
             base = np.log10((known + 1) / (n + v + 1))
-            mass = np.maximum(tokens_in[kinds] + words_in[kinds], 1.0)
+            mass = np.maximum(tokens_in[kinds] + np.where(kinds < symbols.slots, 0.0, words_in[kinds]), 1.0)
             within = np.log10(np.where(known > 0, known, np.maximum(words_in[kinds], 1.0)) / mass)
-            values, starts, lengths = _sequences(r)
+            values, starts, lengths = _sequences(r, end)
             size = len(counts)
             base_sum = np.bincount(doc, weights=base[numbers], minlength=size) + np.log10((ends + 1) / (n + v + 1))
             model_sum = np.bincount(doc, weights=within[numbers], minlength=size) + log10_likelihoods(chain, values, starts, lengths)
             n_known = np.bincount(doc, weights=(known > 0)[numbers], minlength=size).astype(np.int64) + int(ends > 0)
             flags = pa.array([not f for f in r["flags"]], pa.bool_())
-            tables.append(pa.table([pa.array(r["ids"], chunk.schema.field("ids").type.value_type), flags, pa.array(lengths), pa.array(n_known), pa.array(np.full(size, n, np.int64)), pa.array(base_sum), pa.array(model_sum)], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.concat_tables(tables) if tables else empty
-
-    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
-    empty = pa.table([pa.array([], t) for t in (id_arrow, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-    whole = chunks.select("__chunk", "ids", "counts", "n", "numbers", "place", "n_distinct", "labels", "flags")
-    own = answers.where("__chunk >= 0").select("__chunk", "bucket", "n", "known")
-    return whole.groupBy("__chunk").cogroup(own.groupBy("__chunk")).applyInArrow(score, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _pack_long(x: np.ndarray) -> bytes:
-    return pack_numbers(np.concatenate([x & 0xFFFFFFFF, x >> 32]))
-
+            tables.append(pa.table([pa.array(r["ids"], batch.schema.field("ids").type.value_type), flags, pa.array(lengths), pa.array(n_known), pa.array(np.full(size, n, np.int64)), pa.array(base_sum), pa.array(model_sum)], names=schema.names))
+        return pa.concat_tables(tables)
 
-def _unpack_long(data: bytes, n: int) -> np.ndarray:
-    both = unpack_numbers(data, 2 * n).astype(np.int64)
-    return both[:n] | (both[n:] << 32)
+    return map_rows(chunks, score, schema).withColumnRenamed("id", id_col)
 
 
 def op5_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

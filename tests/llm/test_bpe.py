@@ -42,3 +42,22 @@ def test_registered_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert bpe.bpe_encode(empty(spark), bpe.read_vocabulary(PATH), public_tokenizers.PATTERN).collect() == []
+
+
+def test_decoding_keeps_clashing_columns(spark):
+    vocabulary = bpe.read_vocabulary(PATH)
+    ids = np.array(encoding().encode_ordinary("one two"), "<u4").tobytes()
+    df = spark.createDataFrame([(1, bytearray(ids), "a", (3,)), (2, None, "b", (4,))], "doc_id long, ids binary, decoded string, `a b.c` struct<`x y`:int>")
+    out = bpe.bpe_decode(df, vocabulary)
+    assert out.columns == ["doc_id", "ids", "decoded", "a b.c", "decoded_"]
+    assert sorted((r["doc_id"], r["decoded"], bytes(r["decoded_"]), r["a b.c"]["x y"]) for r in out.collect()) == [(1, "a", b"one two", 3), (2, "b", b"", 4)]
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    """Buckets and chunks share one exchange."""
+    frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    out = bpe.op7_byte_bpe(spark, str(tmp_path))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and final.count("FlatMapCoGroupsInArrow") == 1

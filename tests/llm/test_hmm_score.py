@@ -101,3 +101,32 @@ def test_no_training_rows_and_empty_table(spark):
     out = h.hmm_scores(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), held_out=lambda i: True).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in out) == [(1, 3, 0, 0), (2, 1, 0, 0)]
     assert h.hmm_scores(empty(spark)).collect() == []
+
+
+def test_symbols_grow_with_the_vocabulary():
+    small, large = (h.choose_symbols({1: n, 10: n // 10, 1000: n // 100}) for n in (10_000, 1_000_000))
+    assert large.slots > 4 * small.slots and small.classes == small.slots // 4
+    found = h.choose_symbols({1: 900, 5: 90, 50: 10})
+    assert found.least == 5
+    found = h.choose_symbols({1: 90_000, 5: 9_000, 50: 1_000})
+    assert found.least == 50 and h.choose_symbols({}).slots == 1024
+    counts = np.array([0, 1, 63, 64, 71, 72, 1000, 10**9])
+    assert (h.count_bin(counts) <= counts).all() and (h.count_bin(counts) >= counts * 7 // 8).all()
+
+
+def test_states_tell_words_of_a_class_apart(spark):
+    """Two words with the same ends follow different words; symbols of their own let the states learn it, classes don't."""
+    docs = [(i, " ".join(["aaxxyyzz bb"] * 20 if i % 2 else ["aaqqyyzz cc"] * 20)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    own = h.hmm_scores(df, held_out=lambda i: i >= 50, states=4, rounds=8).where("held_out").agg({"score": "sum"}).first()[0]
+    old, h.LEAST_OWN = h.LEAST_OWN, 10**9
+    try:
+        classes = h.hmm_scores(df, held_out=lambda i: i >= 50, states=4, rounds=8).where("held_out").agg({"score": "sum"}).first()[0]
+    finally:
+        h.LEAST_OWN = old
+    assert own > classes + 50
+
+
+def test_whole_query_beats_the_base_on_held_out_texts(spark):
+    out = h.op5_hmm_score(spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert out["sum(score)"] / out["sum(n_tokens)"] > -3.56 > out["sum(base_score)"] / out["sum(n_tokens)"]
