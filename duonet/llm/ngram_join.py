@@ -3,9 +3,13 @@ r"""N-gram Jaccard self-join by parity sketches.
 A document is the set of its distinct n-word shingles (64-bit hashes). Two documents link when
 ``100 * intersection >= percent * union``; then their symmetric difference is at most D, which follows from their sizes.
 
-Sketch: per size band the hash space splits into D + 1 + e blocks, and each block holds the XOR of its shingles' mixed
-hashes (an exact parity of what falls into it). A shingle of one set only touches one block, so the number of differing
-blocks is a lower bound of the symmetric difference: linked documents agree in at least 1 + e blocks. Bands follow
+Sketch: per size band the hash space splits into B = D + 1 + e blocks of 64 parity bits each, and every shingle is XOR-hashed
+into its block: it flips the bits of its mixed hash there, about half of the 64. The Hamming distance of two sketches, counted
+in blocks, is at most their symmetric difference: a shingle that both sets hold flips the same bits in both, so blocks can
+differ only where a shingle of just one set falls, and each of those at most |A xor B| shingles falls into one block. (Plain
+bits are the same sketch with blocks of one bit, whose distance bounds in the same way but is cut into segments that
+one-bit agreement by chance makes far less telling; segments of 64 bits are what the pigeonhole join needs as keys.) So
+linked documents, whose symmetric difference is at most D, agree in at least B - D = 1 + e segments. Bands follow
 ``r = floor(100 * l / percent)``, so a document meets its partners in its own band or the next and takes part in both.
 
 Pigeonhole join: a document may leave out its e most frequent blocks, for any order of blocks that all documents share: of
@@ -38,9 +42,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from duonet.llm._chunks import pack_numbers, unpack_numbers
-from duonet.llm._common import GOLDEN, buckets_for, cut, map_rows, mix64, small, table, texts_of, word_hashes
+from duonet.llm._common import GOLDEN, buckets_for, cut, extended, join_split, map_rows, mix64, plain, small, table, texts_of, word_hashes
 from duonet.llm.substring_dedup import _pack, _unpack
 from duonet.operators.components import components
 
@@ -431,7 +436,7 @@ def _named(signed: DataFrame, roots: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id of its component)."""
     signed, _, roots = _joined(docs, id_col, text_col, n, percent, star_rounds)
-    linked = signed.where("sig is not null").join(_named(signed, roots), "sig").select("id", "size", "component_id")
+    linked = join_split(signed.where("sig is not null"), cut(_named(signed, roots)), "sig", "copies", signed.count()).select("id", "size", "component_id")
     alone = signed.where("sig is null").select("id", "size", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
@@ -442,48 +447,64 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = cut(roots)
     named = cut(_named(signed, roots))
     named = named.join(link_counts(roots, named.select("sig", "copies"), sets, percent), "sig", "left")
-    named = named.select("sig", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = signed.where("sig is not null").join(named, "sig").select("id", "size", "component_id", "n_links")
+    named = cut(named.select("sig", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    linked = join_split(signed.where("sig is not null"), named, "sig", "copies", signed.count()).select("id", "size", "component_id", "n_links")
     alone = signed.where("sig is null").select("id", "size", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, that of the least (id, sig), null ids last; all its columns unchanged.
+    """One row of each component, that of the least (id, sig), null ids last; all its columns unchanged, whatever their names.
 
     Rows are told apart by id and shingle set, so rows of one id with different texts stay or go by themselves; of equal ones
     one row stays. Rows without shingles stay, but for a repeated id and text. The ids that go are broadcast only while they
     are few.
     """
+    from xxhash import xxh3_128_digest
+
+    names = docs.columns
+    place = names.index(text_col)
+    docs, id_col, text_col = plain(docs), f"c{names.index(id_col)}", f"c{place}"
     signed, _, roots = _joined(docs, id_col, text_col, n, percent, STAR_ROUNDS)
     members = signed.where("sig is not null").select("id", "sig").distinct().join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     members = cut(members.withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "sig")))
-    gone = cut(members.join(members.groupBy("root").agg(F.min("rank").alias("first")), "root").where("rank <> first").select(F.col("id").alias("__id"), F.col("sig").alias("__gone")))
-    again = cut(signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("__again")))
-    kept = docs.join(small(cut(gone.where("__id is not null").join(small(again), F.col("__id") == F.col("__again"), "left_anti").select("__id"))), docs[id_col] == F.col("__id"), "left_anti")
+    first = members.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("held"))
+    gone = cut(join_split(members, first, "root", "held", members.count()).where("rank <> first").select(F.col("id").alias("gone_id"), F.col("sig").alias("gone_sig")))
+    again = cut(signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("again")))
+    kept = docs.join(small(cut(gone.where("gone_id is not null").join(small(again), F.col("gone_id") == F.col("again"), "left_anti").select("gone_id"))), docs[id_col] == F.col("gone_id"), "left_anti")
     if again.isEmpty():
-        return kept
-    once = kept.join(small(again), kept[id_col].eqNullSafe(F.col("__again")), "left_anti")
-    from pyspark.sql.types import BinaryType, StructField, StructType
-    from xxhash import xxh3_128_digest
-
-    place = docs.columns.index(text_col)
+        return kept.toDF(*names)
+    once = kept.join(small(again), kept[id_col].eqNullSafe(F.col("again")), "left_anti")
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, n) for t in texts_of(batch.column(place))]
         sigs = pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns, sigs], names=[*batch.schema.names, "__sig"])
+        return pa.RecordBatch.from_arrays([*batch.columns, sigs], names=[*batch.schema.names, "sig"])
 
-    several = map_rows(docs.join(small(again), docs[id_col].eqNullSafe(F.col("__again")), "left_semi"), sign, StructType([*docs.schema.fields, StructField("__sig", BinaryType())]))
-    stay = several.join(gone, several[id_col].eqNullSafe(gone["__id"]) & (several["__sig"] == gone["__gone"]), "left_anti")
-    nothing = F.col(id_col).isNull() & F.col("__sig").isNull()
-    one = stay.where(~nothing).withColumn("__key", F.coalesce("__sig", F.col(text_col).cast("binary"))).dropDuplicates([id_col, "__key"])
-    return once.unionByName(one.select(docs.columns)).unionByName(stay.where(nothing).select(docs.columns))
+    several = map_rows(docs.join(small(again), docs[id_col].eqNullSafe(F.col("again")), "left_semi"), sign, extended(docs.schema, sig=BinaryType()))
+    stay = several.join(gone, several[id_col].eqNullSafe(gone["gone_id"]) & (several["sig"] == gone["gone_sig"]), "left_anti")
+    nothing = F.col(id_col).isNull() & F.col("sig").isNull()
+    one = stay.where(~nothing).withColumn("key", F.coalesce("sig", F.col(text_col).cast("binary"))).dropDuplicates([id_col, "key"])
+    return once.unionByName(one.select(docs.columns)).unionByName(stay.where(nothing).select(docs.columns)).toDF(*names)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_links(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+#: All pairs that share a shingle, so for small tables.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS h FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+r AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+k AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id, coalesce(k.links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id
+"""
+
 QUERIES = {"op2_ngram_join": op2_ngram_join}
-SQL: dict[str, str] = {}
+SQL = {"op2_ngram_join": OP2_SQL}
