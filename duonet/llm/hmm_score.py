@@ -14,8 +14,8 @@ has c / (n + v), and v / (n + v) is left for words that training never saw (toge
 word's symbol leaves nothing. So the model is a proper distribution over texts of known words and one unknown word per class.
 
 Training: one pass of the corpus numbers the tokens of bounded chunks (see _chunks) and counts every distinct word once for
-each chunk; the counts, joined back, say each token's symbol, and the numbered chunks are written once with them. Each
-Baum-Welch round reads these, adds up expected counts inside each task and sums them in Spark. For training, documents of
+each chunk; the counts join back, and the numbered chunks are written once with them, beside the vocabulary. Each
+Baum-Welch round reads these, finds the tokens' symbols by their counts, adds up expected counts inside each task and sums them in Spark. For training, documents of
 more than SEGMENT tokens are cut into runs, each later run's first state from a distribution of its own; all tokens of
 training documents take part. Scoring is exact over whole documents.
 
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from duonet.llm._chunks import by_token, n_buckets_for, own_row, pack_long, pack_numbers, spread_chunks, text_bytes, unpack_long, unpack_numbers, unpack_tokens
 from duonet.llm._common import cut, map_rows, table
@@ -188,9 +188,15 @@ def improve(chain: Chain, shares: np.ndarray, first: np.ndarray, again: np.ndarr
     return Chain(share(first), share(again), move, (emit + PRIOR * shares[:, None]) / (emit.sum(0) + PRIOR))
 
 
-def _sequences(row: dict, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the documents of a chunk one after another, each with its end; starts and lengths."""
-    words = unpack_numbers(row["symbols"], row["n_distinct"]).astype(np.int64)[unpack_numbers(row["numbers"], row["n"])]
+def _symbols(row: dict, symbols: Symbols, known: np.ndarray) -> np.ndarray:
+    """The symbol of each token of a row, by the tokens' hashes and counts."""
+    keys = unpack_numbers(row["labels"], 2 * len(known)).astype(np.int64)
+    return symbols.of(keys[: len(known)], keys[len(known) :], known)
+
+
+def _sequences(row: dict, kinds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the documents of a chunk one after another, each with its end; starts and lengths. kinds: the tokens' symbols."""
+    words = kinds[unpack_numbers(row["numbers"], row["n"])]
     counts = np.array(row["counts"], np.int64)
     ends = np.cumsum(counts + 1) - 1
     values = np.full(len(words) + len(counts), end, np.int64)
@@ -200,10 +206,10 @@ def _sequences(row: dict, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return values, ends - counts, counts + 1
 
 
-def _rounds(chunks: DataFrame, chain: Chain, shares: np.ndarray, rounds: int) -> Chain:
+def _rounds(chunks: DataFrame, chain: Chain, symbols: Symbols, shares: np.ndarray, rounds: int) -> Chain:
     spark = chunks.sparkSession
     k, size = len(chain.first), len(chain.emit)
-    rows = chunks.select("counts", "n", "numbers", "n_distinct", "symbols", "flags")
+    rows = chunks.select("counts", "n", "numbers", "n_distinct", "labels", "known", "flags")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(chain)  # symbols x states numbers
 
@@ -211,7 +217,8 @@ def _rounds(chunks: DataFrame, chain: Chain, shares: np.ndarray, rounds: int) ->
             total = np.zeros((size + k + 2, k))
             for batch in batches:
                 for row in batch.to_pylist():
-                    values, starts, lengths = _sequences(row, size - 1)
+                    kinds = _symbols(row, symbols, unpack_long(row["known"], row["n_distinct"]))
+                    values, starts, lengths = _sequences(row, kinds, size - 1)
                     own = np.flatnonzero(np.array(row["flags"], bool))
                     if not len(own):
                         continue
@@ -246,7 +253,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     answer = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("known", pa.binary()), ("keys", pa.binary())])
 
     def count_bucket(rows: pa.Table) -> pa.Table:
-        """Each distinct word's training count, to every chunk that has it; and, under key -1, all words' counts and keys."""
+        """Each distinct word's training count, to every chunk that has it; and, under a negative key, all words' counts and hashes."""
         out: dict[str, list] = {name: [] for name in answer.names}
 
         def put(*values) -> None:
@@ -263,16 +270,31 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         total[t] = total.get(t, 0) + c
             for chunk, digest, tokens, _ in held:
                 put(n_buckets + chunk, digest, bucket, len(tokens), pack_long(np.fromiter((total.get(t, 0) for t in tokens), np.int64, len(tokens))), b"")
-            put(-1, 0, bucket, len(total), pack_long(np.fromiter(total.values(), np.int64, len(total))), pack_numbers(word_keys(list(total))))
+            put(-1 - bucket, 0, bucket, len(total), pack_long(np.fromiter(total.values(), np.int64, len(total))), pack_numbers(word_keys(list(total))))
         return pa.table(out, schema=answer)
 
-    answers = cut(spread.groupBy("key").applyInArrow(count_bucket, "key long, digest long, bucket long, n long, known binary, keys binary"))
-    vocabulary = answers.where("key = -1").select("n", "known", "keys")
+    answers = spread.groupBy("key").applyInArrow(count_bucket, "key long, digest long, bucket long, n long, known binary, keys binary")
+    kept = ("ids", "flags", "counts", "n", "numbers", "n_distinct", "labels")
+    ready_schema = StructType([*(spread.schema[c] for c in kept), StructField("known", BinaryType())])
+
+    def ready(rows: pa.Table, found: pa.Table) -> pa.Table:
+        """A chunk's own row with its tokens' counts; and the rows of the vocabulary, without ids."""
+        row, replies = own_row(rows, n_buckets), found.to_pylist()
+        if row:
+            made = [{**row, "known": pack_long(by_token(replies, row, lambda a: unpack_long(a["known"], a["n"])))}]
+        else:
+            made = [{"n": 0, "n_distinct": a["n"], "labels": a["keys"], "known": a["known"]} for a in replies]
+        types = [*(rows.schema.field(c).type for c in kept), pa.binary()]
+        return pa.table([pa.array([r.get(c) for r in made], t) for c, t in zip(ready_schema.names, types, strict=True)], names=ready_schema.names)
+
+    # one plan, so that the buckets and the chunks read the same exchange
+    both = cut(spread.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(ready, ready_schema))
+    chunks, vocabulary = both.where("ids is not null"), both.where("ids is null").select("n_distinct", "labels", "known")
 
     def bins(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                low, n = np.unique(count_bin(unpack_long(r["known"], r["n"])), return_counts=True)
+                low, n = np.unique(count_bin(unpack_long(r["known"], r["n_distinct"])), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(n, pa.int64())], names=["low", "n"])
 
     histogram = {r["low"]: r["n"] for r in vocabulary.mapInArrow(bins, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).collect()}  # eight rows for each doubling
@@ -283,8 +305,8 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         total = np.zeros((end, 2), np.int64)
         for batch in batches:
             for r in batch.to_pylist():
-                counts, keys = unpack_long(r["known"], r["n"]), unpack_numbers(r["keys"], 2 * r["n"]).astype(np.int64)
-                which = symbols.of(keys[: r["n"]], keys[r["n"] :], counts)
+                counts = unpack_long(r["known"], r["n_distinct"])
+                which = _symbols(r, symbols, counts)
                 total[:, 0] += np.bincount(which, weights=counts, minlength=end).astype(np.int64)
                 total[:, 1] += np.bincount(which, minlength=end)
         at = np.flatnonzero(total[:, 1])
@@ -295,25 +317,11 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = sums.column("at").to_numpy()
     tokens_in[at], words_in[at] = sums.column("tokens").to_numpy(), sums.column("words").to_numpy()
 
-    ready_schema = StructType([*(spread.schema[c] for c in ("ids", "flags", "counts", "n", "numbers", "n_distinct")), *(StructField(c, spread.schema["numbers"].dataType) for c in ("symbols", "known"))])
-
-    def ready(rows: pa.Table, found: pa.Table) -> pa.Table:
-        row = own_row(rows, n_buckets)
-        made = []
-        if row:
-            known = by_token(found.to_pylist(), row, lambda a: unpack_long(a["known"], a["n"]))
-            keys = unpack_numbers(row["labels"], 2 * row["n_distinct"]).astype(np.int64)
-            which = symbols.of(keys[: row["n_distinct"]], keys[row["n_distinct"] :], known)
-            made = [{**{c: row[c] for c in ("ids", "flags", "counts", "n", "numbers", "n_distinct")}, "symbols": pack_numbers(which), "known": pack_long(known)}]
-        kinds = [rows.schema.field(c).type for c in ready_schema.names[:-2]] + [pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[c] for r in made], t) for c, t in zip(ready_schema.names, kinds, strict=True)], names=ready_schema.names)
-
-    chunks = cut(spread.groupBy("key").cogroup(answers.where("key >= 0").groupBy("key")).applyInArrow(ready, ready_schema))
     ends = chunks.select(F.size(F.filter("flags", lambda x: x)).alias("n")).agg(F.sum("n")).first()[0] or 0
     tokens_in[end], words_in[end] = ends, int(ends > 0)
     n, v = int(tokens_in.sum()), int(words_in.sum())
     shares = (tokens_in + 1) / (n + len(tokens_in))
-    chain = _rounds(chunks, start_chain(shares, states), shares, rounds if n else 0)
+    chain = _rounds(chunks, start_chain(shares, states), symbols, shares, rounds if n else 0)
     model = spark.sparkContext.broadcast((chain, tokens_in, words_in))  # symbols x states numbers
     schema = StructType([StructField("id", id_kind), StructField("held_out", BooleanType()), *(StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(StructField(c, DoubleType()) for c in ("base_score", "score"))])
 
@@ -325,11 +333,11 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             numbers = unpack_numbers(r["numbers"], r["n"])
             counts = np.array(r["counts"], np.int64)
             doc = np.repeat(np.arange(len(counts)), counts)
-            kinds = unpack_numbers(r["symbols"], r["n_distinct"]).astype(np.int64)
+            kinds = _symbols(r, symbols, known)
             base = np.log10((known + 1) / (n + v + 1))
             mass = np.maximum(tokens_in[kinds] + np.where(kinds < symbols.slots, 0.0, words_in[kinds]), 1.0)
             within = np.log10(np.where(known > 0, known, np.maximum(words_in[kinds], 1.0)) / mass)
-            values, starts, lengths = _sequences(r, end)
+            values, starts, lengths = _sequences(r, kinds, end)
             size = len(counts)
             base_sum = np.bincount(doc, weights=base[numbers], minlength=size) + np.log10((ends + 1) / (n + v + 1))
             model_sum = np.bincount(doc, weights=within[numbers], minlength=size) + log10_likelihoods(chain, values, starts, lengths)
