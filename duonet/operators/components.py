@@ -53,7 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not _unsettled(edges):
             break
-        edges = cut(_star(_star(edges.coalesce(width), True, width, hot), False, width, hot))
+        for large in (True, False):  # cut between the two, since each reads its edges several times
+            edges = cut(_star(edges.coalesce(width), large, width, hot))
     else:
         raise RuntimeError(f"the components are not settled after {MAX_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
