@@ -328,15 +328,16 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
     """(node, root) over all links between different sets."""
     near = (F.col("size") * 100 >= F.col("other.size") * percent) & (F.col("other.size") * 100 >= F.col("size") * percent)
     held = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
-    width = 8 + shared.count() // ROWS_EACH
+    n_rows = shared.count()
+    width = 8 + n_rows // ROWS_EACH
     shared = cut(shared.join(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").coalesce(width))
     own, edges, roots = shared.withColumn("root", F.col("sig")), None, None
     for r in range(star_rounds + 1):
         if roots is not None:
-            own = shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("sig", F.lit(r)).alias("h"), "sig", "root", "size")).alias("other")).where("lo <> hi")
+            own = cut(shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")).coalesce(width))
+        mixed = own.groupBy("key").agg(F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("sig", F.lit(r)).alias("h"), "sig", "root", "size")).alias("other")).where("lo <> hi")
         if r < star_rounds:
-            pairs = own.join(mixed.select("key", "other"), "key").where((F.col("root") != F.col("other.root")) & near)
+            pairs = join_split(own, mixed.select("key", "other", "held"), "key", "held", n_rows).where((F.col("root") != F.col("other.root")) & near)
             low = F.col("sig") < F.col("other.sig")
             ends = [F.when(low, F.struct("sig", "size")).otherwise(F.struct("other.sig", "other.size")).alias("l"), F.when(low, F.struct("other.sig", "other.size")).otherwise(F.struct("sig", "size")).alias("r")]
             pairs = pairs.select(*ends).select(F.col("l.sig").alias("a"), F.col("r.sig").alias("b"), F.col("l.size").alias("size_a"), F.col("r.size").alias("size_b")).distinct()
