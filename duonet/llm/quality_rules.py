@@ -122,7 +122,9 @@ def rule_order(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", s
                     cost[k] += time.perf_counter() - start
         yield pa.RecordBatch.from_pydict({"rule": np.arange(len(rules)), "cost": cost, "rejected": rejected})
 
-    sample = docs.select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(sample_rows)
+    hashed = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    least = hashed.select("hash").orderBy("hash").limit(sample_rows).agg(F.max("hash")).first()[0]  # numbers only, no texts
+    sample = hashed.where(F.col("hash") <= F.lit(least if least is not None else 0)).select("text").limit(sample_rows)
     rows = sample.mapInArrow(measure, "rule long, cost double, rejected double").collect()  # a row a rule
     gain = [0.0] * len(rules)
     spent = [0.0] * len(rules)
