@@ -331,7 +331,7 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
     n_rows = shared.count()
     width = 8 + n_rows // ROWS_EACH
     shared = cut(shared.join(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").coalesce(width))
-    own, edges, roots = shared.withColumn("root", F.col("sig")), None, None
+    own, roots = shared.withColumn("root", F.col("sig")), None
     for r in range(star_rounds + 1):
         if roots is not None:
             own = cut(shared.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")).coalesce(width))
@@ -346,10 +346,10 @@ def link_components(shared: DataFrame, sets: DataFrame, percent: int, star_round
             left = own.join(mixed.select("key"), "key", "left_semi").select("key", "sig", "size", "root")
             pairs = close_pairs(cut(left.coalesce(width)), sets, percent)
         found = cut(verified(pairs, sets, percent, width).coalesce(width))
-        if edges is not None and found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
+        if roots is None:
+            roots = components(found)
+        elif not found.isEmpty():  # the stars of the rounds before stand for their links
+            roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return roots
 
 
