@@ -289,10 +289,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> Dat
 def close_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """rows: key, sig, size, root. Pairs (a, b) of a key's nodes of different roots that their bit sketches let through.
 
-    The sketches join last, so that they move once.
+    The sketches join last, so that they move once. rows is read several times: cut it before.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("runs"))
-    own = rows.join(sizes, "key").withColumn("run", F.pmod(F.xxhash64("sig", "key"), F.col("runs")))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("held")).withColumn("runs", F.ceil(F.col("held") / F.lit(BLOCK)))
+    own = join_split(rows, sizes, "key", "held", rows.count()).withColumn("run", F.pmod(F.xxhash64("sig", "key"), F.col("runs")))
     runs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1), lambda r: F.struct(F.least(r, F.col("run")).alias("i"), F.greatest(r, F.col("run")).alias("j")))
     tasks = own.select("key", "run", "sig", "size", "root", F.explode(runs).alias("p")).select("key", "p.i", "p.j", "run", "sig", "size", "root")
     tasks = tasks.join(sets.groupBy("sig").agg(F.min("bits").alias("bits")), "sig").select("key", "i", "j", "run", "sig", "size", "root", "bits")
