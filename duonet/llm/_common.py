@@ -15,7 +15,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from duonet.operators.lineage import cut
 
-__all__ = ["GOLDEN", "ascii_lower", "buckets_for", "cut", "extended", "free_name", "join_split", "map_rows", "mix64", "plain", "small", "table", "texts_of", "word_hashes"]
+__all__ = ["GOLDEN", "ascii_lower", "buckets_for", "cut", "extended", "free_name", "join_salted", "join_split", "map_rows", "mix64", "plain", "small", "table", "texts_of", "word_hashes"]
 
 #: Odd multiplier of the finalising mix (2**64 / golden ratio).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -98,6 +98,21 @@ def join_split(rows: DataFrame, known: DataFrame, key: str, held: str, total: in
     return rows.join(few, key).unionByName(rest)
 
 
+def join_salted(rows: DataFrame, known: DataFrame, key: str, by: str, pairs: DataFrame, total: int) -> DataFrame:
+    """rows joined to known, which has one row a key, where known's rows are too large to broadcast.
+
+    pairs holds the `total` keys of rows and is read by itself: cut it before. Rows of hot keys are dealt over salts by the
+    column `by`, and known's row of such a key is repeated for each salt: at most 2 * MOST_HOT rows more, at any size. Only hot
+    keys and their numbers of salts are broadcast, at most MOST_HOT rows.
+    """
+    hot = max(LEAST_HOT, total // MOST_HOT)
+    few = F.broadcast(pairs.groupBy(key).agg(F.count("*").alias("salts")).where(F.col("salts") > hot).select(key, F.ceil(F.col("salts") / F.lit(hot)).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    left = rows.join(few, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts)).drop("salts")
+    right = known.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def extended(schema: StructType, **added: DataType) -> StructType:
     """The schema with more columns; built from types, so any names and nested fields do."""
     return StructType([*schema.fields, *(StructField(name, kind) for name, kind in added.items())])

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from duonet.llm._chunks import pack_numbers, unpack_numbers
-from duonet.llm._common import GOLDEN, buckets_for, cut, extended, join_split, map_rows, mix64, plain, small, table, texts_of, word_hashes
+from duonet.llm._common import GOLDEN, buckets_for, cut, extended, join_salted, join_split, map_rows, mix64, plain, small, table, texts_of, word_hashes
 from duonet.llm.substring_dedup import _pack, _unpack
 from duonet.operators.components import components
 
@@ -253,7 +253,7 @@ def whole_sets(docs: DataFrame, signed: DataFrame, shared: DataFrame, id_col: st
 
 
 def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, size_a, size_b) those that the bit sketches let through."""
+    """Of pairs (a, b, size_a, size_b) those that the bit sketches let through. The node a star picks is in many pairs."""
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
@@ -264,7 +264,10 @@ def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     bits = sets.select("sig", "bits").groupBy("sig").agg(F.min("bits").alias("bits"))
     left, right = bits.select(F.col("sig").alias("a"), F.col("bits").alias("x")), bits.select(F.col("sig").alias("b"), F.col("bits").alias("y"))
-    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "x", "y"), check, "a binary, b binary")
+    pairs = cut(pairs)
+    total = pairs.count()
+    found = join_salted(join_salted(pairs, left, "a", "b", pairs, total), right, "b", "a", pairs, total)
+    return map_rows(found.select("a", "b", "size_a", "size_b", "x", "y"), check, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
@@ -283,7 +286,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> Dat
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     own = sets.select("sig", "hashes").join(small(cut(ends.coalesce(width))), "sig", "left_semi")
     left, right = own.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), own.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
-    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), check, "a binary, b binary").coalesce(width).distinct()
+    total = pairs.count()
+    found = join_salted(join_salted(pairs, left, "a", "b", pairs, total), right, "b", "a", pairs, total)
+    return map_rows(found.select("a", "b", "x", "y"), check, "a binary, b binary").coalesce(width).distinct()
 
 
 def close_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
 from duonet.llm import ngram_join as j
+from duonet.llm._common import join_salted
 from tests.llm.corpus import empty, frame, rows
 
 
@@ -124,3 +125,12 @@ def test_one_of_each_by_row_where_ids_repeat(spark):
     assert sorted(got[k] for k in range(len(got)) if got[k][0] is not None and got[k][1]) == [(3, a), (9, b), (9, c)]
     assert len([t for i, t in got if i is None and t]) == 1 and {t for i, t in got if i is None and t} <= {d, d + " more"}
     assert sorted(map(repr, [x for x in got if not x[1]])) == ["(20, None)", "(None, '')", "(None, None)"]
+
+
+def test_salted_join_of_a_hub_equals_the_plain_one(spark):
+    pairs = spark.createDataFrame([(0, b) for b in range(1, 700)] + [(a, 900) for a in range(1, 5)] + [(0, 5), (7, 901)], "a long, b long")
+    known = spark.createDataFrame([(a, f"x{a}") for a in range(6)], "a long, x string")
+    joined = join_salted(pairs, known, "a", "b", pairs, pairs.count())
+    assert sorted(joined.select("a", "b", "x").collect()) == sorted(pairs.join(known, "a").select("a", "b", "x").collect())
+    nothing = pairs.where("a < 0")
+    assert join_salted(nothing, known, "a", "b", nothing, 0).count() == 0
