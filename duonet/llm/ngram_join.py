@@ -435,8 +435,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, s
 def _named(signed: DataFrame, roots: DataFrame) -> DataFrame:
     """(sig, copies, component_id) of the sets."""
     least = signed.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    rooted = least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", "copies", F.coalesce("root", "sig").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "copies", "component_id")
+    rooted = cut(least.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", "copies", F.coalesce("root", "sig").alias("root")))
+    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("held"))
+    return join_split(rooted, first, "root", "held", rooted.count()).select("sig", "copies", "component_id")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
