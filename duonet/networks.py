@@ -159,14 +159,19 @@ def one_group_network(df: DataFrame, optimal_lambda: float | None = None, eps: f
 
 
 def dense_groups(df: DataFrame, groups: list[str]) -> tuple[list[str], list[list[str]], list[np.ndarray]]:
-    """Features, sample ids and samples x features matrices in a fixed order; refuses more than MOST_CELLS values."""
+    """Features, sample ids and samples x features matrices in a fixed order; refuses more than MOST_CELLS values.
+
+    A value that isn't there is NaN; every feature has at least one in each group.
+    """
     rows = df.where(F.col("group").isin(groups))
     if rows.count() > MOST_CELLS:
         raise ValueError(f"resampling and enrichment take at most {MOST_CELLS} values; aggregate or sample first")
     features, placed = numbered(rows)
     table = placed.select("group", F.col("sample_id").cast("string").alias("s"), "feature_id", F.col("value").cast("double").alias("value")).toArrow()
     owner, s = (table.column(c).combine_chunks().dictionary_encode() for c in ("group", "s"))
-    at, value = table.column("feature_id").to_numpy(), table.column("value").to_numpy()
+    at, value, there = table.column("feature_id").to_numpy(), table.column("value").to_numpy(), table.column("value").is_valid().to_numpy()
+    if np.isnan(value[there]).any():
+        raise ValueError("values must be numbers")
     owner_of, name_of = owner.dictionary.to_pylist(), np.array(s.dictionary.to_pylist(), dtype=object)
     owner, s = owner.indices.to_numpy(), s.indices.to_numpy()
     ids, out = [], []
@@ -176,10 +181,15 @@ def dense_groups(df: DataFrame, groups: list[str]) -> tuple[list[str], list[list
         order = np.argsort(name_of[kept], kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
+        if len(kept) * len(features) > MOST_CELLS:
+            raise ValueError(f"resampling and enrichment take at most {MOST_CELLS} values, missing ones included; aggregate or sample first")
+        cell = rank[row] * len(features) + at[own]
+        if len(np.unique(cell)) < len(cell):
+            raise ValueError("a value is there twice")
         wide = np.full((len(kept), len(features)), np.nan)
-        wide[rank[row], at[own]] = value[own]
-        if own.sum() != wide.size or np.isnan(wide).any():
-            raise ValueError("every sample needs one value for every feature")
+        wide.flat[cell] = value[own]
+        if np.isnan(wide).all(0).any():
+            raise ValueError("every feature needs a value in every group")
         ids.append(name_of[kept][order].tolist())
         out.append(wide)
     return features, ids, out

@@ -123,6 +123,54 @@ def test_enrichment_without_a_network_is_a_pooled_contrast():
     assert sum(variances(X, [influence(np.zeros((6, 6)))] * 2)) == pytest.approx(s2, rel=1e-3)
 
 
+def test_enrichment_with_missing_values_is_their_likelihood():
+    rng = np.random.default_rng(11)
+    p = 5
+    A = np.zeros((p, p))
+    A[0, 1] = A[1, 0] = A[1, 2] = A[2, 1] = 0.4
+    L = [influence(A), influence(A * 0.5)]
+    X = [(f @ rng.normal(size=(p, n)) + 0.7 * rng.normal(size=(p, n))).T + 3 for f, n in zip(L, (25, 18), strict=True)]
+    X[0][rng.random(X[0].shape) < 0.2] = np.nan
+    X[1][4, 2] = np.nan
+
+    def group(x, f, t):  # sample by sample: information, score, and what is left of them
+        info, score, quad, log_det = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
+        for row in x:
+            o = np.flatnonzero(~np.isnan(row))
+            V = (f @ f.T + t * np.eye(p))[np.ix_(o, o)]
+            Q = np.linalg.inv(V)
+            info[np.ix_(o, o)] += Q
+            score[o] += Q @ row[o]
+            quad += row[o] @ Q @ row[o]
+            log_det += np.linalg.slogdet(V)[1]
+        mean = np.linalg.solve(info, score)
+        return mean, info, quad - score @ mean, log_det + np.linalg.slogdet(info)[1]
+
+    free = sum(int((~np.isnan(x)).sum()) - p for x in X)
+
+    def profile(t):
+        parts = [group(x, f, t) for x, f in zip(X, L, strict=True)]
+        return free * np.log(sum(g[2] for g in parts) / free) + sum(g[3] for g in parts)
+
+    sg, se = variances(X, L)
+    t = se / sg
+    assert sg == pytest.approx(sum(group(x, f, t)[2] for x, f in zip(X, L, strict=True)) / free, rel=1e-8)
+    assert profile(t) <= min(profile(t * k) for k in np.exp(np.linspace(-3, 3, 25))) + 1e-9
+    b = np.array([1.0, 1, 1, 0, 0])
+    stat, dof, mu = module_tests(X, [A, A * 0.5], b[None])
+    parts, want, var = [group(x, f, t) for x, f in zip(X, L, strict=True)], 0.0, 0.0
+    for sign, f, g, m in zip((-1, 1), L, parts, mu, strict=True):
+        assert np.allclose(f @ m, g[0])
+        v = np.linalg.solve(f.T, (b @ f) * b)
+        want, var = want + sign * v @ g[0], var + sg * v @ np.linalg.inv(g[1]) @ v
+    assert stat[0] == pytest.approx(want / np.sqrt(var), rel=1e-6) and 0 < dof[0] < free
+    whole = [np.where(np.isnan(x), 3.0, x) for x in X]
+    almost = [whole[0], np.vstack([whole[1], np.full(p, np.nan)])]  # a sample without values changes nothing
+    assert np.allclose(variances(almost, L), variances(whole, L), rtol=1e-5)
+    for got, base in zip(module_tests(almost, [A, A * 0.5], b[None]), module_tests(whole, [A, A * 0.5], b[None]), strict=True):
+        assert np.allclose(got, base, rtol=1e-4)
+
+
 def test_null_p_values_are_uniform():
     rng = np.random.default_rng(7)
     A = np.zeros((8, 8))

@@ -140,6 +140,30 @@ def test_clustering_enrichment_export(clustered, tmp_path, experiment):
     assert done.dataset_summary().count() == 3 and "enriched" in done.show()
 
 
+@pytest.fixture(scope="module")
+def holed(data):
+    """A sample of each group lacks a value."""
+    short = data.where("not (smp = 'case3' and feat = 'Metab 1') and not (smp = 'control7' and feat = 'Metab 9')")
+    return Experiment.from_long(short, "smp", "feat", "val", "grp", levels=("control", "case"))
+
+
+def test_enrichment_takes_incomplete_samples(clustered, holed):
+    features, ids, X = nw.dense_groups(holed.expression_data("log_input_data"), list(holed.groups))
+    assert [x.shape for x in X] == [(60, 12), (40, 12)] and [int(np.isnan(x).sum()) for x in X] == [1, 1]
+    assert np.isnan(X[1][ids[1].index("case3"), features.index("metab_1")])
+    same = clustered.enrich(min_size=2).enrichment_results().collect()
+    short = holed.estimate_networks(aprox=True)
+    modules = clustered.enrich(min_size=2).modules.where("module <> 'independent'")
+    got = {r["subnetworks"]: r for r in short.enrich(min_size=2, pathways=modules).enrichment_results().collect()}
+    assert set(got) == {r["subnetworks"] for r in same}
+    assert all(0 <= r["netgsa_pval"] <= 1 for r in got.values())
+    twice = holed.expression_data("log_input_data").unionByName(holed.expression_data("log_input_data").limit(1))
+    gone = holed.expression_data("log_input_data").where("not (group = 'case' and feature_id = 'metab_5')")
+    for bad in (twice, gone):
+        with pytest.raises(ValueError):
+            nw.dense_groups(bad, list(holed.groups))
+
+
 def test_aggregation(spark, data, experiment):
     twin = data.unionByName(data.where("feat = 'Metab 0'").withColumn("feat", F.lit("Metab 0 twin")).withColumn("val", F.col("val") * 2))
     e = Experiment.from_long(twin, "smp", "feat", "val", "grp", levels=("control", "case"))
