@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from duonet.kernels.community import DETECTORS, consensus_matrix, dense
 from duonet.kernels.enrichment import module_tests
-from duonet.kernels.glasso import NOISE, glasso, information, joint_fit, partial_correlations
+from duonet.kernels.glasso import NOISE, covariance, glasso, information, joint_fit, partial_correlations
 from duonet.operators.lineage import cut
 from duonet.operators.prep import subsample_sizes
 from duonet.operators.stats import pair_moments
@@ -218,7 +218,8 @@ def resamples(ids: list[list[str]], rep: int, seed: int, subsample: bool) -> lis
 def stability(spark: SparkSession, df: DataFrame, groups: list[str], lam: float, nreps: int, subsample: bool, seed: int = 0, eta: float = 0.01, partitions: int | None = None) -> DataFrame:
     """group, feature_a, feature_b, n_selected, prob: how often a pair is kept over resampled joint fits.
 
-    A fit that fails is left out, and probabilities divide by the fits that succeeded.
+    A fit that fails is left out, and probabilities divide by the fits that succeeded. Where samples lack values, a pair's
+    covariance is over the drawn samples that have both, as in moments.
     """
     features, ids, X = dense_groups(df, groups)
     if subsample:
@@ -234,7 +235,7 @@ def stability(spark: SparkSession, df: DataFrame, groups: list[str], lam: float,
             for rep in batch.column(0).to_pylist():
                 for rows in resamples(ids, rep, seed, subsample):
                     try:
-                        omega = joint_fit([np.cov(x[r], rowvar=False) for x, r in zip(X, rows, strict=True)], lam, eta=eta)
+                        omega = joint_fit([covariance(x[r]) for x, r in zip(X, rows, strict=True)], lam, eta=eta)
                     except (np.linalg.LinAlgError, FloatingPointError):
                         continue
                     g_.append(-1)

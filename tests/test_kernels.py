@@ -6,7 +6,7 @@ import pytest
 
 from duonet.kernels import community as c
 from duonet.kernels.enrichment import influence, module_tests, variances
-from duonet.kernels.glasso import glasso, information, joint_fit, partial_correlations
+from duonet.kernels.glasso import covariance, glasso, information, joint_fit, partial_correlations, semidefinite
 from duonet.kernels.hclust import complete_linkage
 from duonet.kernels.tdist import two_sided_p
 
@@ -62,6 +62,21 @@ def test_partial_correlations():
     assert np.allclose(w, w.T) and np.all(np.diag(w) == 0) and np.all(np.abs(w) < 1)
 
 
+def test_covariance_of_pairs_with_missing_values():
+    rng = np.random.default_rng(12)
+    x = rng.normal(5, 2, (30, 4))
+    assert np.array_equal(covariance(x), np.cov(x, rowvar=False))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    got = covariance(x)
+    for a, b in itertools.combinations_with_replacement(range(4), 2):
+        both = x[~np.isnan(x[:, a]) & ~np.isnan(x[:, b])]
+        assert got[a, b] == pytest.approx(np.cov(both[:, a], both[:, b])[0, 1], rel=1e-10) and got[a, b] == got[b, a]
+    x[:, 0] = np.where(np.isnan(x[:, 1]), x[:, 0], np.nan)
+    with pytest.raises(np.linalg.LinAlgError):
+        covariance(x)
+    assert np.allclose(semidefinite(np.array([[0.0, 1], [1, 0]])), 0.5)
+
+
 def test_complete_linkage_properties():
     rng = np.random.default_rng(5)
     for _ in range(30):

@@ -164,6 +164,14 @@ def test_enrichment_takes_incomplete_samples(clustered, holed):
             nw.dense_groups(bad, list(holed.groups))
 
 
+def test_stability_takes_incomplete_samples(experiment, holed):
+    runs = [e.stability_selection(nreps=4, optimal_lambda=0.1, partitions=k, subsample=sub).selection_probabilities().collect() for sub in (False, True) for e, k in ((experiment, 2), (holed, 1), (holed, 4))]
+    whole, a, b, _, c, d = ({(r["group"], r["feature_a"], r["feature_b"]): r["prob"] for r in run} for run in runs)
+    assert a == b and c == d and all(0 < v <= 1 for v in (*a.values(), *c.values()))
+    assert abs(sum(a.values()) - sum(whole.values())) < 0.1 * sum(whole.values())
+    assert a.get(("control", "metab_0", "metab_1"), 0) >= 0.75
+
+
 def test_aggregation(spark, data, experiment):
     twin = data.unionByName(data.where("feat = 'Metab 0'").withColumn("feat", F.lit("Metab 0 twin")).withColumn("val", F.col("val") * 2))
     e = Experiment.from_long(twin, "smp", "feat", "val", "grp", levels=("control", "case"))
