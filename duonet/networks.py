@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from duonet.kernels.community import DETECTORS, consensus_matrix, dense
 from duonet.kernels.enrichment import module_tests
-from duonet.kernels.glasso import NOISE, covariance, glasso, information, joint_fit, partial_correlations
+from duonet.kernels.glasso import NOISE, covariance, glasso, information, joint_fit, partial_correlations, semidefinite
 from duonet.operators.lineage import cut
 from duonet.operators.prep import subsample_sizes
 from duonet.operators.stats import pair_moments
@@ -64,6 +64,8 @@ def moments(df: DataFrame, groups: list[str]) -> Moments:
             value = (sab[own] - sa[own] * sb[own] / m) / (m - 1)
         c[a, b] = c[b, a] = value
         s[a, b] = s[b, a] = sab[own] / m
+        if len(m) and m.min() < m.max():  # some samples lack values
+            c, s = (semidefinite(v) if np.isfinite(v).all() else v for v in (c, s))
         cov.append(c)
         second.append(s)
         sizes.append(int(m.max()) if len(m) else 0)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from duonet import networks as nw
 from duonet import sources
 from duonet.functions.stat import benjamini_hochberg, student_p
+from duonet.kernels.glasso import covariance
 from duonet.kernels.tdist import two_sided_p
 from duonet.model import Experiment, filter_edges, split_by_condition
 from duonet.operators import aggregate, prep, stats, transform
@@ -172,6 +173,26 @@ def test_stability_takes_incomplete_samples(experiment, holed):
     assert a.get(("control", "metab_0", "metab_1"), 0) >= 0.75
 
 
+def test_networks_take_incomplete_samples(spark, experiment, holed):
+    def weights(e):
+        found = e.tune_lambda(lambda_values=[0.05, 0.1, 0.3]).stability_selection(nreps=4).estimate_networks(lambda_values=[0.05, 0.1])
+        return {(r["group"], r["feature_a"], r["feature_b"]): r["w"] for r in found.adjacency_matrix(weighted=True).collect()}
+
+    whole, got = weights(experiment), weights(holed)
+    strong = {k for k, w in whole.items() if abs(w) > 0.2}
+    assert len(strong) > 5 and all(whole[k] * got.get(k, 0) > 0.02 for k in strong)
+    assert max(abs(whole[k] - got.get(k, 0)) for k in whole if not {"metab_0", "metab_1", "metab_2", "metab_3", "metab_9"} & set(k)) < 0.03
+    long, groups = holed.expression_data("log_scaled_data"), list(holed.groups)
+    m, (_, _, X) = nw.moments(long, groups), nw.dense_groups(long, groups)
+    for x, c, s in zip(X, m.covariance, m.second, strict=True):
+        there = (~np.isnan(x)).astype(float)
+        assert np.allclose(c, covariance(x)) and np.allclose(s, np.nan_to_num(x).T @ np.nan_to_num(x) / (there.T @ there))
+    x = np.array([[1.0, 1, np.nan], [-1, -1, np.nan], [1, np.nan, 1], [-1, np.nan, -1], [np.nan, 1, -1], [np.nan, -1, 1]])  # r = 1, 1, -1
+    rows = [("g", f"s{i}", f"f{j}", float(x[i, j])) for i, j in zip(*np.nonzero(~np.isnan(x)), strict=True)]
+    m = nw.moments(spark.createDataFrame([*rows, ("g", "s6", "f0", 0.0)], "group string, sample_id string, feature_id string, value double"), ["g"])
+    assert all(np.linalg.eigvalsh(v[0])[0] > -1e-9 and abs(v[0] - np.diag(np.diag(v[0]))).max() > 0.1 for v in (m.covariance, m.second))
+
+
 def test_aggregation(spark, data, experiment):
     twin = data.unionByName(data.where("feat = 'Metab 0'").withColumn("feat", F.lit("Metab 0 twin")).withColumn("val", F.col("val") * 2))
     e = Experiment.from_long(twin, "smp", "feat", "val", "grp", levels=("control", "case"))
